@@ -23,6 +23,12 @@ def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
