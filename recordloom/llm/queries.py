@@ -29,6 +29,18 @@ def op5_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.rules import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
