@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import table
 
 
+def op1_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.language import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.llm.packing import packed
 
@@ -29,6 +35,12 @@ def op5_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.llm.secrets import scan
 
