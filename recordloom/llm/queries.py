@@ -16,6 +16,13 @@ def op1_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(table(spark, sf_dir, "documents"))
 
 
+def op2_budget_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.mixing import chosen
+
+    took = chosen(table(spark, sf_dir, "documents"))
+    return took.select("doc_id", "domain", F.col("m_lang").alias("lang"), F.col("m_source").alias("source"), "n_tokens", "copies", "taken_tokens")
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.llm.packing import packed
 
@@ -47,6 +54,12 @@ def op8_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.urls import judged
+
+    return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.llm.rules import judged
 
@@ -58,4 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from recordloom.llm import mixing
+
+    return {"op2_budget_tree": mixing.oracle()}
