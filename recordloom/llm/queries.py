@@ -42,6 +42,12 @@ def op5_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.llm.embeddings import near_duplicates
 

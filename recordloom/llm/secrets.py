@@ -152,7 +152,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = MARK) -> DataFrame:
-    """docs with every span replaced by a mark in text; null text stays null."""
+    """docs with every span replaced by a mark in text; null text stays null. n_chars, if
+    there, is the length of a changed text."""
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -161,6 +162,10 @@ def redacted(docs: DataFrame, mark: str = MARK) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], more).otherwise(state["out"]).alias("out"))
 
     clean = F.aggregate(F.col("found_all"), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    got = found(docs)
-    new = F.when(text.isNull() | (F.size("found_all") == 0), text).otherwise(clean)
-    return got.withColumn("text", new).select(*docs.columns)
+    got = found(docs.select(F.struct("*").alias("found_doc"), "text")).withColumn("changed", F.size("found_all") > 0)
+    got = got.withColumn("clean", F.when(F.col("changed"), clean))
+    columns = {c: F.col("found_doc")[c] for c in docs.columns}
+    columns["text"] = F.when(F.col("changed"), F.col("clean")).otherwise(columns["text"])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("changed"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return got.select(*(c.alias(name) for name, c in columns.items()))

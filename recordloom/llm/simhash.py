@@ -222,3 +222,12 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, most: int = MAX_BITS) -> Da
     groups = components(near_pairs(classes, most).where("src <> dst")).withColumnRenamed("id", "member")
     lookup = classes.join(groups, F.col("id") == F.col("member"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(lookup, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, ngram: int = 5, most: int = MAX_BITS) -> DataFrame:
+    """The rows of docs with the smallest doc_id of each component, one row each; rows
+    without doc_id stay."""
+    named = docs.where("doc_id is not null")
+    first = near_duplicates(named, ngram, most).where("doc_id = component_id").select("doc_id").distinct()
+    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
