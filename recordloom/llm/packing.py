@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,13 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Documents that one packing group holds on average.
 GROUP_DOCS = 40_000
-#: Words whose ids a worker remembers; when full, it starts afresh.
-CACHE_WORDS = 400_000
+#: Bytes of text that are encoded together.
+SLICE = 32_000_000
+#: Characters whose words are their own normal form, letter case aside; the vocabulary's
+#: pre-tokenizer (fixed value, from its file) takes letters in a row, single digits, and
+#: other characters in a row as pieces, and splits after an apostrophe in its own way.
+PLAIN = "^[\\x21-\\x26\\x28-\\x7e\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]*$"
+LETTERS_OR_DIGIT = "([a-z\\x{df}-\\x{f6}\\x{f8}-\\x{ff}]+|[0-9])"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -39,62 +46,118 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat with these starts and sizes, one after the other."""
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 class WordTokenizer:
-    """Encodes text word by word and remembers words.
+    """Encodes the distinct words of many texts, and puts texts together from them.
 
     The vocabulary's pre-tokenizer never joins characters across a blank or a line
-    feed, so the ids of a text are those of its parts one after the other.
+    feed, so the ids of a text are those of its words one after the other. Plain words
+    are split into the pre-tokenizer's pieces; distinct pieces are encoded together,
+    and the marked last token of each tells them apart. Any other word goes through
+    the tokenizer by itself.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        got = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *got]), np.array([len(x) for x in got], dtype=np.int64)
+
+    def together(self, pieces: list[str], at_once: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+        """What each() gives, for pieces that the pre-tokenizer leaves whole."""
+        ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(pieces), at_once):
+            part = pieces[i : i + at_once]
+            got = self.ids(" ".join(part))
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) == len(part) and ends[-1] == len(got):
+                n = np.diff(ends, prepend=0)
+            else:
+                got, n = self.each(part)
+            ids.append(got)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in a row, and how many each has."""
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), LETTERS_OR_DIGIT, " \\1 ")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        some = np.array([bool(p) for p in pieces], dtype=bool)
+        flat, n = self.together([p for p in pieces if p])
+        sizes = np.zeros(len(pieces), dtype=np.int64)
+        sizes[some] = n
+        starts = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy()
+        done = gathered(flat, starts[index], sizes[index])
+        ends = np.r_[0, np.cumsum(sizes[index])][split.offsets.to_numpy()]
+        plain = plain.to_numpy(zero_copy_only=False)
+        odd, odd_sizes = self.each(words.filter(pa.array(~plain)).to_pylist())
+        out_sizes = np.zeros(len(words), dtype=np.int64)
+        out_sizes[plain], out_sizes[~plain] = np.diff(ends), odd_sizes
+        out_starts = np.zeros(len(words), dtype=np.int64)
+        out_starts[plain], out_starts[~plain] = ends[:-1], len(done) + np.cumsum(odd_sizes) - odd_sizes
+        return gathered(np.concatenate([done, odd]), out_starts, out_sizes), out_sizes
+
+    def encode(self, texts: pa.Array, docs: int = 500) -> Iterator[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        new = set().union(*words).difference(cache)
-        if len(cache) + len(new) > self.cache_words and cache:
-            cache.clear()
-            new = set().union(*words)
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[word] = np.array(e.ids, dtype="<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        flat, sizes = self.words(coded.dictionary)
+        starts = np.cumsum(sizes) - sizes
+        index, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        for at in range(0, len(texts), docs):
+            own = ends[at : at + docs + 1] - ends[at]
+            words = index[ends[at] : ends[min(at + docs, len(texts))]]
+            ids = gathered(flat, starts[words], sizes[words])
+            cuts = np.r_[0, np.cumsum(sizes[words])][own]
+            for a, b in zip(cuts, cuts[1:]):
+                yield ids[a:b]
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     path = path or vocabulary_path()
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                rows = []
-                encoded = tokenizer.encode([t or "" for t in part["text"]])
-                for doc_id, ids in zip(part["doc_id"], encoded):
-                    ids += end
-                    for k, begin in enumerate(range(0, len(ids), 4 * size)):
-                        piece = ids[begin : begin + 4 * size]
-                        rows.append((doc_id, k, begin // 4, len(piece) // 4, zlib.crc32(piece)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
-    )
+            sent = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // SLICE
+            cuts = np.r_[0, np.flatnonzero(np.diff(sent)) + 1, batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part, rows = batch.slice(a, b - a), []
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer.encode(part.column("text"))):
+                    ids = np.concatenate([ids, end])
+                    for k, begin in enumerate(range(0, len(ids), size)):
+                        piece = ids[begin : begin + size]
+                        rows.append((doc_id, k, begin, len(piece), zlib.crc32(piece.tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
