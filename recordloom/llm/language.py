@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import slices
 from recordloom.llm.grams import hashed, letters, lower_letters
 
 UNKNOWN = "und"
@@ -167,23 +169,21 @@ def predicted(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
     """keep and lang_pred, score, ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, model = lower_letters(), Model.__new__(Model)
         vars(model).update(shared.value)
         names = np.array([*model.languages, UNKNOWN], dtype=object)
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                p = batch.iloc[at : at + 200]
-                m, some = margins(p["text"].tolist(), table, model.weights)
-                if not model.languages:
-                    some[:] = False
-                which, score, close = model.decode(m)
-                out = p[list(keep)].copy()
-                out["lang_pred"], out["score"], out["ambiguous"] = names[np.where(some, which, -1)], np.where(some, score, 0.0), some & close
-                yield out
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInPandas(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+        for part in slices(batches, 200):
+            m, some = margins(part.column("text").to_pylist(), table, model.weights)
+            if not model.languages:
+                some[:] = False
+            which, score, close = model.decode(m)
+            new = [pa.array(names[np.where(some, which, -1)], pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(some & close)]
+            yield pa.RecordBatch.from_arrays([part.column("row"), *new], ["row", "lang_pred", "score", "ambiguous"])
+
+    rows = docs.select(F.struct(*keep).alias("row"), "text")
+    got = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return got.select("row.*", "lang_pred", "score", "ambiguous")
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Documents that one packing group holds on average.
 GROUP_DOCS = 40_000
 #: Bytes of text that are encoded together.
-SLICE = 32_000_000
+SLICE = 16_000_000
 #: Characters whose words are their own normal form, letter case aside; the vocabulary's
 #: pre-tokenizer (fixed value, from its file) takes letters in a row, single digits, and
 #: other characters in a row as pieces, and splits after an apostrophe in its own way.

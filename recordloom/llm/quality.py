@@ -24,14 +24,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import slices
 from recordloom.llm.grams import code_points, hashed
 
 #: Bounds, in expectation, of what the classifiers are fitted on.
-LABELLED, POOL = 6000, 6000
+LABELLED, POOL = 4000, 4000
 #: Content buckets (a power of two) and metadata columns for language and source.
 BITS, HASHED = 10, 32
 ROUNDS = 4
@@ -71,13 +72,13 @@ def measures(text: str | None) -> list[float]:
     ]
 
 
-def metadata(rows: pd.DataFrame) -> np.ndarray:
-    out = np.zeros((len(rows), 2 * HASHED + MEASURES), dtype=np.float32)
-    at = np.arange(len(rows))
-    out[at, [slot(x) for x in rows["lang"]]] = 1
-    out[at, [HASHED + slot(x) for x in rows["source"]]] = 1
-    if len(rows):
-        out[:, 2 * HASHED :] = [measures(t) for t in rows["text"]]
+def metadata(texts: list[str | None], langs: list[str | None], sources: list[str | None]) -> np.ndarray:
+    out = np.zeros((len(texts), 2 * HASHED + MEASURES), dtype=np.float32)
+    at = np.arange(len(texts))
+    out[at, [slot(x) for x in langs]] = 1
+    out[at, [HASHED + slot(x) for x in sources]] = 1
+    if texts:
+        out[:, 2 * HASHED :] = [measures(t) for t in texts]
     return out
 
 
@@ -89,21 +90,24 @@ class View:
     """A logistic classifier on standardised features."""
 
     def __init__(self, x: np.ndarray):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.05
-        self.w = np.zeros(x.shape[1] + 1)
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + np.float32(0.05)
+        self.w = np.zeros(x.shape[1] + 1, dtype=np.float32)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1]
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, rate: float = 0.05, ridge: float = 0.01) -> None:
         """Goes on from the present weights; both classes weigh the same in all."""
-        a = np.c_[(x - self.mean) / self.scale, np.ones(len(x))].astype(np.float32)
+        a = np.ones((len(x), len(self.w)), dtype=np.float32)
+        np.subtract(x, self.mean, out=a[:, :-1])
+        a[:, :-1] /= self.scale
         v = weight * np.where(y > 0, 0.5 / max(weight[y > 0].sum(), 1e-9), 0.5 / max(weight[y <= 0].sum(), 1e-9))
         m, s = np.zeros_like(self.w), np.zeros_like(self.w)
         for k in range(1, steps + 1):
-            g = a.T @ (v * (sigmoid(a @ self.w) - y)) + ridge * np.r_[self.w[:-1], 0] / len(self.w)
+            g = a.T @ (v * (sigmoid(a @ self.w) - y)).astype(np.float32) + ridge * np.r_[self.w[:-1], 0] / len(self.w)
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            self.w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
+            self.w = self.w - rate * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
+            self.w = self.w.astype(np.float32)
 
 
 class Model:
@@ -152,21 +156,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     sample = docs.select("doc_id", "text", "lang", "source").join(marks, "doc_id", "left")
     sample = sample.where(F.col("quality").isNotNull() | (luck("pool") < POOL / max(n_docs, 1))).withColumn("fold", luck("fold") < FOLD)
 
-    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                p = batch.iloc[at : at + 200]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": p["doc_id"],
-                        "quality": p["quality"],
-                        "fold": p["fold"],
-                        "c": [r.tobytes() for r in content(p["text"].tolist())],
-                        "m": [r.tobytes() for r in metadata(p)],
-                    }
-                )
-
-    got = sample.mapInPandas(featured, "doc_id long, quality double, fold boolean, c binary, m binary").toPandas()
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 200):
+            texts, langs, sources = (part.column(c).to_pylist() for c in ("text", "lang", "source"))
+            views = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (content(texts), metadata(texts, langs, sources))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), part.column("fold"), *views], ["doc_id", "quality", "fold", "c", "m"])
+
+    sample = sample.withColumns({"doc_id": F.col("doc_id").cast("long"), "quality": F.col("quality").cast("double")})
+    got = sample.mapInArrow(featured, "doc_id long, quality double, fold boolean, c binary, m binary").toPandas()
     got = got.sort_values(["doc_id", "c"], ignore_index=True)
     x = [np.frombuffer(b"".join(got[k]), dtype=np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), dtype=np.float32) for k in "cm"]
     known = got["quality"].notna().to_numpy()
@@ -183,9 +180,10 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """A struct row of the columns keep, and quality_score, content_margin, metadata_margin, accepted."""
     model = fitted(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model and {**vars(model), "views": [vars(v) for v in model.views]})
-    rows = docs.select(F.struct(*keep).alias("row"), "text", "lang", "source")
+    need = [*keep, *(c for c in ("text", "lang", "source") if c not in keep)]
+    rows = docs.select(F.struct(*need).alias("row"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         if shared.value:
             model = Model.__new__(Model)
@@ -193,20 +191,20 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
             model.views = [View.__new__(View) for _ in shared.value["views"]]
             for view, state in zip(model.views, shared.value["views"]):
                 vars(view).update(state)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                p = batch.iloc[at : at + 500]
-                out = p[["row"]].copy()
-                if model:
-                    x = [content(p["text"].tolist()), metadata(p)]
-                    m, s = model.margins(x), model.score(x)
-                    out["quality_score"], out["content_margin"], out["metadata_margin"], out["accepted"] = s, m[:, 0], m[:, 1], s >= model.threshold
-                else:
-                    out["quality_score"], out["content_margin"], out["metadata_margin"], out["accepted"] = 1.0, 0.0, 0.0, True
-                yield out
+        for part in slices(batches, 300):
+            row, n = part.column("row"), part.num_rows
+            m, s, good = np.zeros((n, 2)), np.ones(n), np.ones(n, dtype=bool)
+            if model:
+                texts, langs, sources = (row.field(need.index(c)).to_pylist() for c in ("text", "lang", "source"))
+                x = [content(texts), metadata(texts, langs, sources)]
+                m, s = model.margins(x), model.score(x)
+                good = s >= model.threshold
+            new = [pa.array(v) for v in (s.astype(float), m[:, 0].astype(float), m[:, 1].astype(float), good)]
+            yield pa.RecordBatch.from_arrays([row, *new], ["row", "quality_score", "content_margin", "metadata_margin", "accepted"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInPandas(run, f"row {kind}, quality_score double, content_margin double, metadata_margin double, accepted boolean")
+    got = rows.mapInArrow(run, f"row {kind}, quality_score double, content_margin double, metadata_margin double, accepted boolean")
+    return got.withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in keep)))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

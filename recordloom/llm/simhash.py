@@ -28,10 +28,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, shuffle_partitions
+from recordloom.llm.common import cut, shuffle_partitions, slices
 from recordloom.llm.components import components
 
 BITS = 64
@@ -66,12 +67,12 @@ def fingerprint(text: str | None, ngram: int, chunk: int = 1 << 15) -> int:
 def fingerprints(docs: DataFrame, ngram: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.array([fingerprint(t, ngram) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 500):
+            fp = np.array([fingerprint(t, ngram) for t in part.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def shared_masks(fixed: int, parts: int) -> list[int]:

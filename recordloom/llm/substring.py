@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import release, written
+from recordloom.llm.common import discard, release, written
 
 WINDOW = 50
 #: Characters of text in one part, on average.
@@ -248,10 +248,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, part_chars: int = PAR
 
     sent = dealt.groupBy("part").applyInPandas(probe, "bucket int, part int, rest binary, anchor binary, several binary")
     hits = written(sent.groupBy("bucket").applyInPandas(match, "part int, bucket int, rest binary"))
+    del sent
     release(docs.sparkSession)
     sent = dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInPandas(extend, "bucket int, part int, print binary, doc binary, several binary")
     told = written(sent.groupBy("bucket").applyInPandas(earliest, "part int, bucket int, print binary, doc binary"))
-    del sent
+    discard(hits)
+    del sent, hits
     release(docs.sparkSession)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(remove, schema)
