@@ -157,7 +157,8 @@ def fitted(learn: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
                 for at in range(0, len(batch), 200):
                     p = batch.iloc[at : at + 200]
                     m, some = margins(p["text"].tolist(), table, weights.value)
-                    yield pd.DataFrame({"lang": p["lang"].to_numpy()[some], "m": list(m[some])})
+                    if some.any():
+                        yield pd.DataFrame({"lang": p["lang"].to_numpy()[some], "m": list(m[some])})
 
         seen = sample.select("lang", "text").mapInPandas(measure, "lang string, m array<double>").toPandas()
         if len(seen):
