@@ -43,6 +43,8 @@ LEAD = 0.2
 
 def codewords(n: int, seed: int = 3) -> np.ndarray:
     """One row of +1 and -1 for each of n languages."""
+    if not n:
+        return np.zeros((0, 0))
     if n <= EXHAUSTIVE:
         return np.array([[1 if k == 0 or not (b >> (k - 1)) & 1 else -1 for b in range(1, 2 ** (n - 1))] for k in range(n)]).reshape(n, -1)
     rng, best, most = np.random.default_rng(seed), None, -1
