@@ -122,7 +122,7 @@ def estimated(rows: DataFrame, keys: list[str]) -> DataFrame:
     cuts = [F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(FEATURES)]
     middle = rows.groupBy(*keys).agg(*cuts)
     spread = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"d{i}") for i, x in enumerate(FEATURES)]
-    start = rows.join(middle, keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(4)), *spread)
+    start = rows.join(written(middle), keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(4)), *spread)
     diagonal = {f"c{i}{j}": (F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0)) for i in range(4) for j in range(i + 1)}
     now = factored(start.withColumns(diagonal).drop("d0", "d1", "d2", "d3"), 1.0)
     for _ in range(STEPS):
