@@ -78,6 +78,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     fit = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(unfit, F.lit(True))
     classes = cut(vectors.where(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     bits, tables = tables_for(classes.count(), threshold)
+    # vectors travel as they came, and are scaled to length one where they are compared
+    kind = np.float32 if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,8 +87,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             for size, part in batch.groupby("size"):
                 for at in range(0, len(part), 1000):
                     p = part.iloc[at : at + 1000]
-                    x = unit(np.array(p["embedding"].tolist(), dtype=np.float64))
-                    s = signatures(x, bits, tables)
+                    x = np.array(p["embedding"].tolist(), dtype=kind)
+                    s = signatures(unit(x.astype(np.float64)), bits, tables)
                     m = len(p)
                     yield pd.DataFrame(
                         {
@@ -96,7 +98,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                             "bucket": s.T.ravel(),
                             "rep": np.tile(p["rep"], tables),
                             "n": np.tile(p["n"], tables),
-                            "sign": [r.tobytes() for r in s] * tables,
+                            "sign": [r.tobytes() for r in s.astype(np.int32)] * tables,
                             "x": [r.tobytes() for r in x] * tables,
                         }
                     )
@@ -117,8 +119,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             for key, g in rows.groupby(keys, sort=False):
                 if len(g) < 2:
                     continue
-                x = np.frombuffer(b"".join(g["x"]), dtype=np.float64).reshape(len(g), -1)
-                s = np.frombuffer(b"".join(g["sign"]), dtype=np.int64).reshape(len(g), -1)
+                x = unit(np.frombuffer(b"".join(g["x"]), dtype=kind).reshape(len(g), -1).astype(np.float64))
+                s = np.frombuffer(b"".join(g["sign"]), dtype=np.int32).reshape(len(g), -1)
                 a, b = group_links(x, s, None if key[4] == key[5] else g["own"].to_numpy(), key[2], threshold)
                 if not len(a):
                     continue
