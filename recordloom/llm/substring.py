@@ -4,8 +4,9 @@ Words of every document that stand in a window of WINDOW words which also starts
 a document with a smaller doc_id are removed. The reference side indexes
 non-overlapping blocks of half a window at fixed places, since every window holds
 one whole block. Every rolling half-window of every document probes that index, and
-what was hit is extended: all full windows around a hit are compared by a 128-bit
-fingerprint, and windows in a row make up the maximal repeats that are cut out.
+what was hit is extended: all full windows around a hit are compared by a 64-bit
+fingerprint within a bucket of another hash (64 bits and the logarithm of the number of
+parts in all), and windows in a row make up the maximal repeats that are cut out.
 
 The work runs over parts: documents dealt out by a hash of doc_id, some megabytes of
 text each. A part sends each distinct hash once, however many of its documents have
