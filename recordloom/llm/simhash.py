@@ -16,6 +16,9 @@ class; the classes are searched for pairs at few differing bits by an index:
 A node gives back a star for each set of linked fingerprints, not the pairs, and
 components of the stars give the classes of the documents.
 
+similar_classes() and deduplicated() link texts by the Jaccard similarity of their sets of
+shingles instead; the index and SimHashes of samples give them candidates.
+
 Defined results: null text or text without words has fingerprint zero and links like
 any other; text with fewer words than a shingle is one shingle; repeated rows are
 repeated in the result; an empty table gives no rows; other columns are ignored.
@@ -29,10 +32,11 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, shuffle_partitions, slices
+from recordloom.llm import shingles
+from recordloom.llm.common import cut, shuffle_partitions, slices, written
 from recordloom.llm.components import components
 
 BITS = 64
@@ -56,8 +60,8 @@ def fingerprint(text: str | None, ngram: int, chunk: int = 1 << 15) -> int:
     if len(words) < ngram:
         return xxh64_intdigest(b" ".join(words), SEED)
     n = len(words) - ngram + 1
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(ngram))))
-    hashes = np.fromiter(map(partial(xxh64_intdigest, seed=SEED), shingles), dtype="<u8", count=n)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(ngram))))
+    hashes = np.fromiter(map(partial(xxh64_intdigest, seed=SEED), grams), dtype="<u8", count=n)
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, chunk):
         ones += np.unpackbits(hashes[at : at + chunk].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -225,10 +229,72 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, most: int = MAX_BITS) -> Da
     return prints.join(lookup, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, ngram: int = 5, most: int = MAX_BITS) -> DataFrame:
-    """The rows of docs with the smallest doc_id of each component, one row each; rows
-    without doc_id stay."""
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (src, dst) of keys whose sets (key, shingles) are similar enough."""
+    one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("src", "x"), ("dst", "y")))
+    both = pairs.join(one, "src").join(two, "dst")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("src", "dst")
+
+
+def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, most: int = MAX_BITS) -> DataFrame:
+    """(key, id, component): for each distinct set of shingles its smallest doc_id and the
+    smallest one that links reach, where sets of that Jaccard similarity or more link.
+
+    Candidates are texts whose SimHash the index finds at most so many differing bits apart,
+    and texts with an equal SimHash of one of the samples of their shingles: at a similarity
+    of 0.8 whole SimHashes differ by ten bits, at which the index would prune nothing. All
+    links are checked with the sets themselves. First each text is compared with one
+    neighbour in a bucket, then with the neighbours in all its buckets that are not yet in
+    its component, and at last with all those in them that still are not, so that copies in
+    large groups are not compared in all pairs.
+    """
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = text.mapInArrow(lambda b: shingles.signatures(b, ngram, shingles.TABLES), "doc_id long, key binary, n int, fp long, samples array<long>")
+    first = F.min_by(F.struct("n", "fp", "samples"), "doc_id").alias("s")
+    classes = written(prints.groupBy("key").agg(F.min("doc_id").alias("id"), first).select("key", "id", "s.*"))
+
+    whole = classes.where("n > 0").select("fp").distinct()
+    stars = cut(near_pairs(whole.select("fp", F.col("fp").alias("id")), most).where("src <> dst"))
+    groups = components(stars).select(F.col("id").alias("fp"), F.col("component").alias("of"))
+    by_whole = classes.where("n > 0").join(groups, "fp", "left").select(F.coalesce("of", "fp").alias("bucket"), "key", "n")
+    by_sample = classes.select(F.explode("samples").alias("bucket"), "key", "n")
+
+    def neighbours(rows: DataFrame, seed: int) -> DataFrame:
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), "key"), "key")
+        before = {c: F.lag(c).over(order).alias(f"before_{c}") for c in rows.columns if c != "bucket"}
+        return rows.select("*", *before.values(), F.lead("key").over(order).alias("after"))
+
+    members = written(neighbours(by_whole.union(by_sample).distinct(), 0).where("before_key is not null or after is not null"))
+    wanted = written(members.select("key").distinct())
+    ids = wanted.join(classes, "key").select("id").distinct()
+    sets = text.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda b: shingles.keyed_sets(b, ngram), "key binary, shingles array<long>")
+    sets = written(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+
+    pairs = members.where("before_key is not null").groupBy(F.col("key").alias("src")).agg(F.min("before_key").alias("dst"))
+    links = written(similar_pairs(pairs, sets, similarity))
+    for last in (False, True):
+        label = components(links).select(F.col("id").alias("key"), F.col("component").alias("of"))
+        rows = members.select("bucket", "key", "n").join(label, "key", "left").select("bucket", "key", "n", F.coalesce("of", "key").alias("of"))
+        apart = rows.groupBy("bucket").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("bucket")
+        rows = written(rows.join(apart, "bucket", "left_semi"))
+        if last:
+            other = rows.select("bucket", *(F.col(c).alias(f"before_{c}") for c in ("key", "n", "of")))
+            near = rows.join(other, "bucket").where("of < before_of")
+        else:
+            near = neighbours(rows, 1).where("of <> before_of")
+        near = near.where(F.least("n", "before_n") >= F.lit(similarity) * F.greatest("n", "before_n") - 1e-9)
+        pairs = near.select(F.least("key", "before_key").alias("src"), F.greatest("key", "before_key").alias("dst")).distinct()
+        links = links.union(written(similar_pairs(pairs, sets, similarity)))
+    label = components(links).select(F.col("id").alias("key"), F.col("component").alias("of"))
+    named = classes.select("key", "id").join(label, "key", "left").select("key", "id", F.coalesce("of", "key").alias("of"))
+    return named.join(named.groupBy("of").agg(F.min("id").alias("component")), "of").select("key", "id", "component")
+
+
+def deduplicated(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs with the smallest doc_id of each component of similar texts, one row
+    each; rows without doc_id stay. Texts without words are similar to each other alone."""
     named = docs.where("doc_id is not null")
-    first = near_duplicates(named, ngram, most).where("doc_id = component_id").select("doc_id").distinct()
+    first = similar_classes(named, ngram, similarity).select(F.col("component").alias("doc_id")).distinct()
     kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))

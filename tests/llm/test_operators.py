@@ -557,3 +557,32 @@ def test_rules_awkward(spark):
     assert len(got) == 11
     check_rules(got, {r.doc_id: r.text for r in docs.collect()})
     assert rules.judged(none(spark)).count() == 0
+
+
+# --- near copies, by the similarity of sets of shingles
+
+
+def test_similar_classes_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    texts = []
+    for size in (30, 60, 200, 700):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            texts.append(base)
+            for edits in (1, 1, size // 60 + 1, size // 40 + 1, size // 25 + 2):
+                copy = list(texts[-1] if rng.integers(0, 2) else base)
+                for at in rng.integers(0, size, edits):
+                    copy[at] = word()
+                texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(len(rows), rows[0][1].upper().replace(" ", "\n")), (len(rows) + 1, rows[0][1]), (len(rows) + 2, None), (len(rows) + 3, " \t"), (len(rows) + 4, "one two"), (len(rows) + 5, "ONE two")]
+    grams = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    near = [(a, b) for a, b in itertools.combinations(grams, 2) if 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b])]
+    label = plain_components(grams, near)
+    assert 0 < sum(label[i] == i for i in grams) < len(grams)
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in grams if label[i] == i]
