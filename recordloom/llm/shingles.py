@@ -62,12 +62,17 @@ def whole_print(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def samples(hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """For each odd factor the hash whose product with it, modulo 2**64, is smallest."""
+def inverses(times: np.ndarray) -> np.ndarray:
+    return np.array([pow(int(x), -1, 2**64) for x in times], dtype=np.uint64)
+
+
+def samples(hashes: np.ndarray, times: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """For each odd factor the hash whose product with it, modulo 2**64, is smallest; back
+    are the factors' inverses."""
     least = np.full(len(times), 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(hashes), STEP):
         np.minimum(least, (times[:, None] * hashes[None, at : at + STEP]).min(axis=1), out=least)
-    return least * np.array([pow(int(x), -1, 2**64) for x in times], dtype=np.uint64)
+    return least * back
 
 
 def sample_prints(drawn: np.ndarray, tables: int) -> np.ndarray:
@@ -80,9 +85,10 @@ def signatures(batches: Iterator[pa.RecordBatch], ngram: int, tables: int) -> It
     """(doc_id, key, n, fp, samples) of (doc_id, text); key is a 128-bit hash of the set of
     n shingles, the same for texts with the same set."""
     times = odd_numbers(tables * SAMPLE, SEED)
+    back = inverses(times)
     for part in slices(batches, 500):
         sets = [shingle_set(t, ngram) for t in part.column("text").to_pylist()]
-        drawn = np.array([samples(s, times) for s in sets], dtype=np.uint64).reshape(len(sets), len(times))
+        drawn = np.array([samples(s, times, back) for s in sets], dtype=np.uint64).reshape(len(sets), len(times))
         prints = sample_prints(drawn, tables).view(np.int64)
         columns = [
             part.column("doc_id"),

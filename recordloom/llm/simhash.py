@@ -233,8 +233,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     """Those of the pairs (src, dst) of keys whose sets (key, shingles) are similar enough."""
     one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("src", "x"), ("dst", "y")))
     both = pairs.join(one, "src").join(two, "dst")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("src", "dst")
+    enough = F.lit(similarity / (1 + similarity)) * (F.size("x") + F.size("y")) - 1e-9
+    return both.where(F.size(F.array_intersect("x", "y")) >= enough).select("src", "dst")
 
 
 def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, most: int = MAX_BITS) -> DataFrame:
