@@ -128,10 +128,19 @@ def reference_shown(number: Column, text: Column) -> Column:
 def first_difference(a: Column, b: Column, step: int = 4096) -> Column:
     """The zero-based offset of the first byte in which two blobs differ, null if equal.
 
-    Blocks are compared first, then the bytes of the first block that differs.
+    Blocks are compared first, then the bytes of the first block that differs. Both
+    blobs are bound once: a lambda that reads a column copies the whole of it each time.
     """
-    n = F.greatest(F.length(a), F.length(b))
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    block = F.get(F.filter(starts, lambda s: slice_at(a, s, step) != slice_at(b, s, step)), F.lit(0))
-    inside = F.filter(F.sequence(F.lit(0), F.lit(step - 1)), lambda i: slice_at(a, block + i, 1) != slice_at(b, block + i, 1))
-    return F.when(block.isNotNull(), block + F.get(inside, F.lit(0)))
+
+    def block(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(x["a"]), F.length(x["b"]), F.lit(1)) - 1, F.lit(step))
+        at = F.get(F.filter(starts, lambda s: slice_at(x["a"], s, step) != slice_at(x["b"], s, step)), F.lit(0))
+        return F.transform(F.array(at), lambda k: F.struct(k.alias("at"), slice_at(x["a"], k, step).alias("a"), slice_at(x["b"], k, step).alias("b")))
+
+    def inside(x: Column) -> Column:
+        offsets = F.sequence(F.lit(0), F.lit(step - 1))
+        return x["at"] + F.get(F.filter(offsets, lambda i: slice_at(x["a"], i, 1) != slice_at(x["b"], i, 1)), F.lit(0))
+
+    both = F.array(F.struct(a.alias("a"), b.alias("b")))
+    found = F.transform(F.flatten(F.transform(both, block)), inside)
+    return F.when(a.isNotNull() & b.isNotNull(), F.get(found, F.lit(0)))

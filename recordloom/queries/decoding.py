@@ -201,6 +201,23 @@ def first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(after, "doc_id").select("doc_id", B.first_difference(F.col("raw"), F.col("other")).alias("first_mismatch"))
 
 
+@register(QUERIES, """
+    WITH RECURSIVE p AS MATERIALIZED (
+        SELECT a.doc_id, hex(encode(a.text)) AS x, hex(encode(b.text)) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
+    ), s AS (
+        SELECT doc_id, CAST(0 AS BIGINT) AS lo, CAST(greatest(length(x), length(y)) // 2 + 1 AS BIGINT) AS hi FROM p WHERE x <> y
+        UNION ALL
+        SELECT doc_id, CASE WHEN same THEN m ELSE lo END, CASE WHEN same THEN hi ELSE m END
+        FROM (SELECT s.doc_id, lo, hi, (lo + hi) // 2 AS m, left(x, 2 * ((lo + hi) // 2)) = left(y, 2 * ((lo + hi) // 2)) AS same FROM s JOIN p USING (doc_id) WHERE hi - lo > 1)
+    )
+    SELECT p.doc_id, CAST(max(s.lo) AS INT) AS first_mismatch FROM p LEFT JOIN s USING (doc_id) GROUP BY 1""")
+def first_mismatch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte in which each text differs from the next one: all texts, whole."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("raw").alias("other"))
+    return docs.join(after, "doc_id").select("doc_id", B.first_difference(F.col("raw"), F.col("other")).alias("first_mismatch"))
+
+
 @register(QUERIES, """
     WITH one AS (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS size FROM lineitem GROUP BY 1, 2)
     SELECT l_orderkey, l_linenumber, size, CAST(24 + coalesce(sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM one""")
