@@ -114,6 +114,16 @@ def cstring_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", B.cstring(F.encode("t", "ISO-8859-1")).alias("shown"))
 
 
+@register(QUERIES, """
+    WITH v AS (SELECT doc_id, split_part(coalesce(text, ''), chr(0), 1) AS t FROM documents)
+    SELECT doc_id, CASE WHEN regexp_full_match(t, '[ -~]*') THEN t ELSE '<binary data: ' || rtrim(regexp_replace(hex(encode(t)), '(..)', '\\1 ', 'g')) || '>' END AS shown
+    FROM v""")
+def cstring_display_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts, whole, as C strings."""
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", B.cstring(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("shown"))
+
+
 @register(QUERIES, "SELECT c_custkey, upper(trim(substr(c_name, 1, 8))) AS resref FROM customer")
 def resref_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as fixed eight bytes and back, normalised."""

@@ -26,3 +26,12 @@ def test_first_mismatch_of_whole_texts(spark, tmp_path):
     got = queries.queries()["first_mismatch_whole"](spark, stored(tmp_path)).collect()
     assert {r.doc_id: r.first_mismatch for r in got} == {i: first(*pair) for i, pair in enumerate(zip(TEXTS, TEXTS[1:]))}
     assert len(got) == len(TEXTS) - 1
+
+
+def test_cstring_of_whole_texts(spark, tmp_path):
+    def shown(text):
+        raw = (text or "").encode().split(b"\0")[0]
+        return raw.decode() if all(32 <= b < 127 for b in raw) else f"<binary data: {raw.hex(' ').upper()}>"
+
+    got = queries.queries()["cstring_display_whole"](spark, stored(tmp_path)).collect()
+    assert {r.doc_id: r.shown for r in got} == {i: shown(t) for i, t in enumerate(TEXTS)} and len(got) == len(TEXTS)
