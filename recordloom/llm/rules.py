@@ -6,7 +6,13 @@ are estimated by minimum covariance determinant: starting from medians and scale
 median deviations, concentration steps take the SHARE of rows with the smallest
 Mahalanobis distances and compute mean and covariance anew. A floor on each variance
 keeps the estimate regular where most documents have one value. Rows beyond LIMIT are
-rejected. Groups of fewer than LEAST rows use the estimate of all rows.
+rejected.
+
+Every group has an estimate of its own, however small. A group of n rows is judged by
+the moments of a mixture: its own estimate with odds of (n / EVEN) squared against its
+language's, which is mixed with that of all rows in the same way. There is no size at
+which the verdict switches: large groups are judged by themselves, and a small one that
+differs from its language widens the covariance towards itself.
 
 Estimates are aggregates with partial sums; a group that holds a third of all rows is
 never gathered in one task.
@@ -30,11 +36,13 @@ SPAN = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 FEATURES = ("x0", "x1", "x2", "x3")
+PAIRS = tuple((i, j) for i in range(len(FEATURES)) for j in range(i + 1))
 #: Least standard deviation of each feature.
 FLOOR = (0.15, 0.35, 0.35, 0.35)
 SHARE = 0.75
 STEPS = 3
-LEAST = 200
+#: Rows at which a group's own estimate and that of its language weigh the same.
+EVEN = 50
 #: Squared Mahalanobis distance: the 1 - 1e-9 quantile of chi-squared with 4 degrees of freedom.
 LIMIT = 47.0
 #: Makes the covariance of the nearest three quarters of a normal sample (4 features) consistent.
@@ -92,7 +100,7 @@ def features(stats: DataFrame) -> DataFrame:
     return stats.withColumns(x)
 
 
-def factored(moments: DataFrame, scale: float) -> DataFrame:
+def factored(moments: DataFrame, scale: float = 1.0) -> DataFrame:
     """Means and the lower Cholesky factor (l00, l10, ...) of the scaled, floored covariance."""
     out = moments
     for i in range(len(FEATURES)):
@@ -104,8 +112,7 @@ def factored(moments: DataFrame, scale: float) -> DataFrame:
 
 
 def moments() -> list[Column]:
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-    return [F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)] + [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in pairs]
+    return [F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)] + [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in PAIRS]
 
 
 def distance() -> Column:
@@ -118,19 +125,41 @@ def distance() -> Column:
 
 
 def estimated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Minimum covariance determinant estimates by keys, one row each."""
+    """Minimum covariance determinant estimates by keys: one row each of how many rows, means and covariances."""
     cuts = [F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(FEATURES)]
     middle = rows.groupBy(*keys).agg(*cuts)
     spread = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"d{i}") for i, x in enumerate(FEATURES)]
-    start = rows.join(written(middle), keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(4)), *spread)
-    diagonal = {f"c{i}{j}": (F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0)) for i in range(4) for j in range(i + 1)}
-    now = factored(start.withColumns(diagonal).drop("d0", "d1", "d2", "d3"), 1.0)
-    for _ in range(STEPS):
-        far = rows.join(written(now), keys).withColumn("far", distance()).select(*keys, *FEATURES, "far")
+    start = rows.join(written(middle), keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(4)), *spread, F.count("*").alias("many"))
+    start = written(start)
+    diagonal = {f"c{i}{j}": (F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0)) for i, j in PAIRS}
+    now = start.withColumns(diagonal).drop("d0", "d1", "d2", "d3", "many")
+    for k in range(STEPS):
+        far = rows.join(written(factored(now, SCALE if k else 1.0)), keys).withColumn("far", distance()).select(*keys, *FEATURES, "far")
         edge = far.groupBy(*keys).agg(F.percentile_approx("far", SHARE, 10000).alias("edge"))
         near = far.join(written(edge), keys).where("far <= edge")
-        now = factored(near.groupBy(*keys).agg(*moments()), SCALE)
-    return written(now)
+        now = near.groupBy(*keys).agg(*moments())
+    now = now.withColumns({f"c{i}{j}": SCALE * F.col(f"c{i}{j}") for i, j in PAIRS})
+    return written(now.join(start.select(*keys, "many"), keys))
+
+
+def mixed(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the moments of own (keys, many) mixed with those of above (some of keys, or
+    one row), which are the moments where own has none."""
+    names = [f"m{i}" for i in range(4)] + [f"c{i}{j}" for i, j in PAIRS]
+    on = [k for k in keys if k in above.columns]
+    above = above.select(*on, *(F.col(c).alias(f"above_{c}") for c in names))
+    both = own.join(above, on, "left") if on else own.join(above, F.lit(True), "left")
+    odds = F.pow(F.coalesce("many", F.lit(0)) / F.lit(float(EVEN)), 2)
+    # without a level above (no sound row at all) all is null, as before
+    both = both.withColumn("part", odds / (1 + odds))
+    w, rest = F.col("part"), 1 - F.col("part")
+    gap = [F.coalesce(F.col(f"m{i}") - F.col(f"above_m{i}"), F.lit(0.0)) for i in range(4)]
+
+    def mean(c: str) -> Column:
+        return w * F.coalesce(c, f"above_{c}") + rest * F.col(f"above_{c}")
+
+    means = [mean(f"m{i}").alias(f"m{i}") for i in range(4)]
+    return both.select(*keys, *means, *((mean(f"c{i}{j}") + w * rest * gap[i] * gap[j]).alias(f"c{i}{j}") for i, j in PAIRS))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -138,13 +167,11 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = written(features(statistics(docs).withColumns({"g_lang": F.coalesce("lang", F.lit("\0")), "g_source": F.coalesce("source", F.lit("\0")), "g_all": F.lit(0)})))
     sound = rows.where(f"n_words >= {LEAST_WORDS}")
     keys = ["g_lang", "g_source"]
-    large = sound.groupBy(*keys).count().where(F.col("count") >= LEAST).select(*keys)
-    own = estimated(sound.join(written(large), keys), keys)
-    fallback = estimated(sound, ["g_all"]).drop("g_all")
-    every = fallback.columns
-    one = fallback.select(F.lit(0).alias("g_all"), *(F.col(c).alias(f"all_{c}") for c in every))
-    both = rows.join(own, keys, "left").join(one, "g_all", "left")
-    both = both.withColumns({c: F.coalesce(F.col(c), F.col(f"all_{c}")) for c in every})
+    # each group of rows, though none of them is sound
+    own, of_lang, of_all = (rows.select(*k).distinct().join(estimated(sound, k), k, "left") for k in (keys, keys[:1], ["g_all"]))
+    langs = mixed(of_lang, of_all, keys[:1])
+    groups = mixed(own, langs, keys)
+    both = rows.join(written(factored(groups)), keys, "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -551,6 +551,17 @@ def test_rules_find_outliers_and_keep_the_rest(spark):
     assert all(r.kept == (r.doc_id % 10 != 0) for r in got)
 
 
+def test_rules_judge_a_small_group_by_itself(spark):
+    rng = np.random.default_rng(12)
+    text = lambda least, most, marks="": " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(least, most))) + marks for _ in range(60))
+    rows = [(i, text(2, 9), "en", "src0") for i in range(600)]
+    for n, lang, source in ((60, "zz", "src1"), (60, "en", "src2")):  # words eight times as long as those of all
+        rows += [(len(rows) + i, text(30, 50, "*" * 25 if i == 0 else ""), lang, source) for i in range(n)]
+    rows += [(len(rows), text(30, 50), "en", "src3")]  # a group of one is no judge of itself
+    got = {r.doc_id: r.kept for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sorted(i for i, kept in got.items() if not kept) == [600, 660, 720]
+
+
 def test_rules_awkward(spark):
     docs = awkward(spark)
     got = rules.judged(docs).collect()
