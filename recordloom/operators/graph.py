@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,26 +27,41 @@ def used_by(links: DataFrame) -> DataFrame:
     return links.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("src")).alias("users"))
 
 
-def closure(links: DataFrame, stop: DataFrame | None = None, steps: int = 64) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once, as Parquet in the folder that driver and executors share: rounds
+    of an iteration then have no lineage and known sizes."""
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        place = tempfile.mkdtemp(prefix="recordloom-")
+        spark.sparkContext.setCheckpointDir(place)
+    path = f"{place.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def closure(links: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """(src, dst, depth): everything reachable, with the least number of steps.
 
-    Breadth first, one join a step over pairs not seen before, so that cycles end; what
-    has been found is checkpointed when the session has a place for it. Nothing is
-    followed beyond nodes of stop (node).
+    By path doubling: pairs of exactly `half` steps are followed by all pairs of up to
+    `half` steps, until that gives nothing new. A chain of any length ends in as many
+    rounds as its length has binary digits, and so do cycles. Nothing is followed beyond
+    nodes of stop (node).
     """
-    links = links.select("src", "dst").distinct()
-    onward = links if stop is None else links.join(stop.select(F.col("node").alias("src")), "src", "left_anti")
-    keep = (lambda df: df.checkpoint()) if links.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.cache())
-    found = keep(links.withColumn("depth", F.lit(1)))
-    front = found
-    for depth in range(2, steps + 1):
-        ahead = onward.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        front = front.join(ahead, "dst").select("src", F.col("next").alias("dst")).distinct()
-        front = keep(front.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        found = keep(found.union(front))
-    return found
+    found = kept(links.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    half = 1
+    while True:
+        first = found.where(F.col("depth") == half).select("src", F.col("dst").alias("mid"))
+        if stop is not None:
+            first = first.join(stop.select(F.col("node").alias("mid")), "mid", "left_anti")
+        second = found.select(F.col("src").alias("mid"), "dst", "depth")
+        ahead = first.join(second, "mid").groupBy("src", "dst").agg((F.min("depth") + half).alias("depth"))
+        old = found.select(F.col("src").alias("old_src"), F.col("dst").alias("old_dst"))
+        # null-safe: a pair with a null end must not be new in every round
+        new = kept(ahead.join(old, F.col("src").eqNullSafe(F.col("old_src")) & F.col("dst").eqNullSafe(F.col("old_dst")), "left_anti"))
+        if new.isEmpty():
+            return found
+        found, half = found.union(new), 2 * half
 
 
 def shared(links: DataFrame, least: int = 2) -> DataFrame:

@@ -53,3 +53,13 @@ def test_graph(spark):
     assert {r.dst: r.n for r in graph.shared(links).collect()} == {"d": 2}
     rows = spark.createDataFrame([("r", "i1", ["i2", "", None])], "name string, icon string, more array<string>")
     assert {(r.field, r.dst) for r in graph.edges(rows, "name", ["icon", "more"]).collect()} == {("icon", "i1"), ("more", "i2")}
+
+
+def test_closure_follows_long_chains(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(100)] + [("n100", "n99"), (None, "n99"), ("n0", "n3")], "src string, dst string")
+    found = {(r.src, r.dst): r.depth for r in graph.closure(links).collect()}
+    assert found["n0", "n100"] == 98 and found["n1", "n100"] == 99 and found["n99", "n99"] == 2 and found[None, "n100"] == 2
+    assert len(found) == 100 * 101 // 2 + 3 + 2
+    stop = spark.createDataFrame([("n90",)], "node string")
+    far = {(r.src, r.dst): r.depth for r in graph.closure(links, stop).collect()}
+    assert far["n0", "n90"] == 88 and ("n0", "n91") not in far and ("n90", "n91") in far
