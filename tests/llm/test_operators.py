@@ -562,6 +562,19 @@ def test_rules_judge_a_small_group_by_itself(spark):
     assert sorted(i for i, kept in got.items() if not kept) == [600, 660, 720]
 
 
+def test_rules_reject_repeated_lines_alone(spark):
+    rng = np.random.default_rng(13)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+    rows = [(i, "\n".join(line(12) for _ in range(10)), "en", "src0") for i in range(300)]
+    rows += [(300, "\n".join(x for _ in range(30) for x in (line(60) if _ % 6 == 0 else "home", "news")), "en", "src0")]  # short menu lines between unique paragraphs
+    rows += [(301, " ".join([line(88)] + [line(16)] * 2 + [line(16)]), "en", "src0")]  # few repeated words
+    same = line(15)
+    rows += [(302, f"{line(37)} {same} {line(37)} {same}", "en", "src0")]  # 29 % of the words
+    got = rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    check_rules(got, {r[0]: r[1] for r in rows})
+    assert not any(r.base_failed for r in got) and [r.doc_id for r in got if not r.kept] == [300, 302]
+
+
 def test_rules_awkward(spark):
     docs = awkward(spark)
     got = rules.judged(docs).collect()
