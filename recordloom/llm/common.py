@@ -58,6 +58,41 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def blocks(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
+    """rows (keys, count: how many rows those keys have, and more) with low and high: groups
+    of one block of rows, or of two, so that any two rows with equal keys meet in one group.
+
+    A row's block, the column own, comes from a hash of the column by. Groups hold about
+    2 * block rows at most, however many rows have the same keys; rows of keys that fit one
+    block are not repeated.
+    """
+    n = F.greatest(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    out = rows.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), by), n).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return out.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "count")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole groups from batches in order of keys (numbers without nulls), with
+    where each group of two rows or more begins and ends."""
+    import numpy as np
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch])
+        held = held if rest is None else pa.concat_tables([rest, held]).combine_chunks()
+        new = np.ones(held.num_rows, dtype=bool)
+        new[1:] = np.logical_or.reduce([np.diff(held.column(k).to_numpy()) != 0 for k in keys])
+        starts = np.flatnonzero(new)
+        rest = held.slice(starts[-1])
+        if len(starts) > 1:
+            yield held.slice(0, starts[-1]), [(a, b) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()) if b - a > 1]
+    if rest is not None and rest.num_rows > 1:
+        yield rest, [(0, rest.num_rows)]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what written() has kept, once nothing reads it any more."""
     spark = df.sparkSession

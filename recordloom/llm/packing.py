@@ -11,7 +11,8 @@ Only lengths take part in the packing, so that no group holds text. A group wast
 at most its own last bins, less than one sequence in a thousand at the default size.
 
 Defined results: null or empty text is the end id alone; repeated rows are packed
-as often as they occur; an empty table gives no rows; other columns are ignored.
+as often as they occur; rows without doc_id are packed like any other and keep a null id;
+ids keep all their 64 bits; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -202,7 +202,7 @@ def best_two_fit(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray,
             take(n)
             chosen.append(n)
             gap -= n
-        if gap and len(chosen) > 1 and mask and (two := pair(gap + chosen[-1], chosen[-1])):
+        if gap and mask and (two := pair(gap + chosen[-1], chosen[-1])):
             put_back(chosen.pop())
             for n in two:
                 take(n)
@@ -221,12 +221,11 @@ def packed(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, end_i
     groups = max(1, -(-docs.count() // group_docs))
     dealt = pieces(docs, path, size, end_id).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
 
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ignore_index=True)
-        bins, offsets = best_two_fit(group["length"].to_numpy(), size)
-        out = group.drop(columns="part")
-        out["sequence_id"] = bins * groups + key[0]
-        out["offset"] = offsets
-        return out
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        # Arrow keeps ids whole beside nulls; in pandas such a column would be of doubles
+        group = group.drop_columns("part").sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
+        bins, offsets = best_two_fit(group.column("length").to_numpy(), size)
+        out = group.append_column("sequence_id", pa.array(bins * groups + key[0].as_py()))
+        return out.append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("part").applyInPandas(pack, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("part").applyInArrow(pack, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

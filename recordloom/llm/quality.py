@@ -1,49 +1,54 @@
 """Operator 6: quality classifier by co-training of two views.
 
-The content view sees hashed character n-grams of the whole text; the metadata view
-sees language, source, and measures of size and layout. Each view has a logistic
-classifier. In each round, each view labels the unlabelled documents that it is surest
-of, and hands them to the other. A fold of labelled documents that no classifier has
-seen calibrates both views and their combination, and sets the threshold so that at
-least KEEP of its good documents pass.
-
-Fitted on bounded samples, by a hash of doc_id: LABELLED labelled documents and POOL
-unlabelled ones in expectation, as feature rows of fixed size. Every document is
-scored whole.
-
-Defined results: null text counts as empty, null language or source as a value of its
-own; null labels are no labels, and of several labels of a document the lowest holds;
+The content view sees hashed character n-grams of the whole text and measures of its words
+and lines. The metadata view sees what stands beside the text: language, source and n_chars.
+Each view has a logistic classifier, calibrated on a fold of labelled documents that no
+classifier has seen. In each round every document without a label is scored by both views;
+those of which a view is sure, by its calibrated probability, are pseudo-labels for the
+other view. A view that knows little is never sure and hands on nothing. At last the fold
+calibrates the combination of both views, and sets the threshold so that at least KEEP of
+its good documents pass.
+
+Bounds: LABELLED labelled documents are learned from, and DRAWN pseudo-labels of each kind
+and view a round, both in expectation and by a hash of doc_id. All else covers every
+document: features are computed once and kept in a byte each, their means and scales come
+from all rows, every round scores all rows, and every document is scored whole.
+
+Defined results: null text counts as empty, null language, source or n_chars as a value of
+its own; null labels are no labels, and of several labels of a document the lowest holds;
 with labels of one value only, or none, every document is kept with score 1; rows
 without doc_id are scored too; repeated rows are repeated; an empty table gives no
-rows; other columns are ignored by scored() and kept by accepted().
+rows; other columns are ignored by scored() and kept by accepted(); without a column
+n_chars it counts as null.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import slices
+from recordloom.llm.common import discard, slices, written
 from recordloom.llm.grams import code_points, hashed
 
 #: Bounds, in expectation, of what the classifiers are fitted on.
-LABELLED, POOL = 4000, 4000
-#: Content buckets (a power of two) and metadata columns for language and source.
-BITS, HASHED = 10, 32
-ROUNDS = 4
-#: Share of the pool that a view labels per round.
-SURE = 0.05
+LABELLED, DRAWN = 4000, 1000
+#: Content buckets (a power of two), metadata columns for language and source, and for size.
+BITS, HASHED, SIZES = 10, 32, 24
+ROUNDS = 3
+#: Calibrated probability from which a view is sure.
+SURE = 0.95
 FOLD = 0.25
-KEEP = 0.997
-MEASURES = 10
+KEEP = 0.99
+#: Steps of a content feature to 1, and the columns of measures.
+STEPS, MEASURES = 40, 10
 
 
-def content(texts: list[str | None]) -> np.ndarray:
+def ngrams(texts: list[str | None]) -> np.ndarray:
     """Rows of log-scaled shares of hashed n-grams."""
     out = np.zeros((len(texts), 1 << BITS))
     size = 1 << BITS
@@ -51,14 +56,11 @@ def content(texts: list[str | None]) -> np.ndarray:
         at = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]]) if len(whose) else []
         for a, b in zip(at, np.r_[at[1:], len(whose)] if len(at) else []):
             out[whose[a]] += np.bincount(bucket[a:b], minlength=size)
-    return np.log1p(1000 * out / (out.sum(axis=1, keepdims=True) + 50)).astype(np.float32)
-
-
-def slot(value: str | None) -> int:
-    return zlib.crc32(b"\0" if value is None else value.encode("utf-8")) % HASHED
+    return np.log1p(1000 * out / (out.sum(axis=1, keepdims=True) + 50))
 
 
 def measures(text: str | None) -> list[float]:
+    """Each in a range of 0 to 6 or so, as the n-grams."""
     text = text or ""
     words, lines = text.split(), [x for x in text.split("\n") if x]
     n, chars = max(len(words), 1), max(len(text), 1)
@@ -67,18 +69,28 @@ def measures(text: str | None) -> list[float]:
     lower = sum(map(plain.count, (b"a", b"e", b"i", b"n", b"o", b"r", b"s", b"t")))
     marks = sum(map(plain.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"!")))
     return [
-        np.log1p(chars), np.log1p(n), chars / n, len(set(words)) / n, np.log1p(len(lines)), np.log1p(n / max(len(lines), 1)),
-        len(set(lines)) / max(len(lines), 1), upper / (upper + lower + 1), np.log1p(100 * marks / chars), max(map(len, words), default=0) ** 0.5,
+        np.log1p(chars) / 3, np.log1p(n) / 3, 2 * np.log(chars / n), 5 * len(set(words)) / n, np.log1p(len(lines)) / 2, np.log1p(n / max(len(lines), 1)),
+        5 * len(set(lines)) / max(len(lines), 1), 5 * upper / (upper + lower + 1), np.log1p(100 * marks / chars), max(map(len, words), default=0) ** 0.5,
     ]
 
 
-def metadata(texts: list[str | None], langs: list[str | None], sources: list[str | None]) -> np.ndarray:
-    out = np.zeros((len(texts), 2 * HASHED + MEASURES), dtype=np.float32)
-    at = np.arange(len(texts))
-    out[at, [slot(x) for x in langs]] = 1
-    out[at, [HASHED + slot(x) for x in sources]] = 1
-    if texts:
-        out[:, 2 * HASHED :] = [measures(t) for t in texts]
+def content(texts: list[str | None]) -> np.ndarray:
+    """The content view of each text, a byte a feature."""
+    both = np.c_[ngrams(texts), np.array([measures(t) for t in texts]).reshape(len(texts), MEASURES)]
+    return np.minimum(np.rint(both * STEPS), 255).astype(np.uint8)
+
+
+def slot(value: str | None) -> int:
+    return zlib.crc32(b"\0" if value is None else value.encode("utf-8")) % HASHED
+
+
+def metadata(langs: list[str | None], sources: list[str | None], chars: list[int | None]) -> np.ndarray:
+    """The metadata view, a byte a feature; sizes by powers of two, null as the last one."""
+    out = np.zeros((len(langs), 2 * HASHED + SIZES), dtype=np.uint8)
+    at = np.arange(len(langs))
+    out[at, [slot(x) for x in langs]] = STEPS
+    out[at, [HASHED + slot(x) for x in sources]] = STEPS
+    out[at, [2 * HASHED + (SIZES - 1 if x is None else min(max(int(x), 0).bit_length(), SIZES - 2)) for x in chars]] = STEPS
     return out
 
 
@@ -86,12 +98,23 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def logistic(a: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """Weights of a logistic fit on few columns, by Newton's method."""
+    w = np.zeros(a.shape[1])
+    for _ in range(30):
+        p = sigmoid(a @ w)
+        v = p * (1 - p) + 1e-6
+        w = w + np.linalg.solve((a * v[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+    return w
+
+
 class View:
-    """A logistic classifier on standardised features."""
+    """A logistic classifier on standardised features, with the calibration of its margins."""
 
-    def __init__(self, x: np.ndarray):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + np.float32(0.05)
-        self.w = np.zeros(x.shape[1] + 1, dtype=np.float32)
+    def __init__(self, mean: np.ndarray, scale: np.ndarray):
+        self.mean, self.scale = mean.astype(np.float32), scale.astype(np.float32)
+        self.w = np.zeros(len(mean) + 1, dtype=np.float32)
+        self.line = np.zeros(2)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1]
@@ -109,35 +132,38 @@ class View:
             self.w = self.w - rate * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
             self.w = self.w.astype(np.float32)
 
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        m = self.margin(x)
+        scale = m.std() + 1e-6
+        self.line = logistic(np.c_[m / scale, np.ones(len(m))], y) / np.array([scale, 1])
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.margin(x) * self.line[0] + self.line[1])
+
 
 class Model:
     """Two co-trained views, their calibrated combination, and a threshold."""
 
-    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray]):
-        learn = ~fold
-        self.views = [View(np.concatenate([a, b])) for a, b in zip(x, pool)]
-        given: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=int), np.zeros(0))] * 2
-        for r in range(ROUNDS + 1):
-            for k, view in enumerate(self.views):
-                rows, labels = given[k]
-                view.fit(np.concatenate([x[k][learn], pool[k][rows]]), np.r_[y[learn], labels], np.r_[np.ones(learn.sum()), np.full(len(rows), 0.5)])
-            if r < ROUNDS and len(pool[0]):
-                share = y[learn].mean()
-                for k, view in enumerate(self.views):
-                    order = np.argsort(view.margin(pool[k]), kind="stable")
-                    n = int(SURE * (r + 1) * len(order))
-                    low, high = order[: round(n * (1 - share))], order[len(order) - round(n * share) :]
-                    given[1 - k] = (np.r_[low, high], np.r_[np.zeros(len(low)), np.ones(len(high))])
-        margins = self.margins([a[fold] for a in x])
+    def __init__(self, x: list[np.ndarray], y: np.ndarray, fold: np.ndarray, scales: list[tuple[np.ndarray, np.ndarray]]):
+        self.x, self.y, self.fold = x, y, fold
+        self.views = [View(*s) for s in scales]
+        self.learn([(a[:0], np.zeros(0)) for a in x])
+
+    def learn(self, given: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Goes on with the labelled rows and pseudo-labels (rows, labels) for each view."""
+        own = ~self.fold
+        for view, x, (rows, labels) in zip(self.views, self.x, given):
+            view.fit(np.concatenate([x[own], rows]), np.r_[self.y[own], labels], np.r_[np.ones(own.sum()), np.full(len(rows), 0.5)])
+            view.calibrate(x[self.fold], self.y[self.fold])
+
+    def combine(self) -> None:
+        """Fits the combination and the threshold, and lets go of the rows."""
+        margins = self.margins([a[self.fold] for a in self.x])
         self.centre, self.spread = margins.mean(axis=0), margins.std(axis=0) + 1e-6
-        self.joint = np.zeros(3)
-        a, t = np.c_[(margins - self.centre) / self.spread, np.ones(fold.sum())], y[fold]
-        for _ in range(30):
-            p = sigmoid(a @ self.joint)
-            v = p * (1 - p) + 1e-6
-            self.joint = self.joint + np.linalg.solve((a * v[:, None]).T @ a + 0.5 * np.eye(3), a.T @ (t - p) - 0.5 * self.joint)
-        good = np.sort(self.score([a[fold] for a in x])[t > 0])
+        self.joint = logistic(np.c_[(margins - self.centre) / self.spread, np.ones(len(margins))], self.y[self.fold])
+        good = np.sort(self.score([a[self.fold] for a in self.x])[self.y[self.fold] > 0])
         self.threshold = float(min(0.5, good[int((1 - KEEP) * len(good))])) if len(good) else 0.0
+        del self.x, self.y, self.fold
 
     def margins(self, x: list[np.ndarray]) -> np.ndarray:
         return np.stack([view.margin(a) for view, a in zip(self.views, x)], axis=1)
@@ -146,42 +172,122 @@ class Model:
         return sigmoid(np.c_[(self.margins(x) - self.centre) / self.spread, np.ones(len(x[0]))] @ self.joint)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model of docs and labels (doc_id, quality); None if labels don't have two values."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    luck = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_000)) / 1e6
-    n_labels, n_docs = marks.count(), docs.count()
-    # LABELLED rows in expectation: its size is bounded whatever the input
-    marks = F.broadcast(marks.where(luck("label") < LABELLED / max(n_labels, 1)))
-    sample = docs.select("doc_id", "text", "lang", "source").join(marks, "doc_id", "left")
-    sample = sample.where(F.col("quality").isNotNull() | (luck("pool") < POOL / max(n_docs, 1))).withColumn("fold", luck("fold") < FOLD)
+def luck(salt: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_000)) / 1e6
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, c, m) of every row of docs: both views' features, a byte each, kept as Parquet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 200):
-            texts, langs, sources = (part.column(c).to_pylist() for c in ("text", "lang", "source"))
-            views = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (content(texts), metadata(texts, langs, sources))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), part.column("fold"), *views], ["doc_id", "quality", "fold", "c", "m"])
+            views = viewed(*(part.column(c).to_pylist() for c in COLUMNS))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in views)], ["doc_id", "c", "m"])
+
+    return written(needed(docs, ["doc_id"]).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, c binary, m binary"))
+
 
-    sample = sample.withColumns({"doc_id": F.col("doc_id").cast("long"), "quality": F.col("quality").cast("double")})
-    got = sample.mapInArrow(featured, "doc_id long, quality double, fold boolean, c binary, m binary").toPandas()
+COLUMNS = ("text", "lang", "source", "n_chars")
+
+
+def needed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """docs with the columns keep and all that the views read."""
+    if "n_chars" not in docs.columns:
+        docs = docs.withColumn("n_chars", F.lit(None).cast("long"))
+    return docs.select(*keep, *(c for c in COLUMNS if c not in keep))
+
+
+def viewed(texts: list, langs: list, sources: list, chars: list) -> list[np.ndarray]:
+    return [content(texts), metadata(langs, sources, chars)]
+
+
+def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Both views of a batch of featured()."""
+    return [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1).astype(np.float32) for k in ("c", "m")]
+
+
+def scales(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and scale of every feature of each view over all rows: sums by feature, partial first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, None
+        for part in slices(batches, 2000):
+            both = np.concatenate(unpacked(part), axis=1).astype(np.float64)
+            more = np.stack([both.sum(axis=0), (both * both).sum(axis=0)])
+            n, sums = n + part.num_rows, more if sums is None else sums + more
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.shape[1]), pa.int32()), pa.array(np.full(sums.shape[1], n)), pa.array(sums[0]), pa.array(sums[1])], ["at", "n", "s", "ss"])
+
+    got = rows.select("c", "m").mapInArrow(run, "at int, n long, s double, ss double").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))).toPandas()
+    got = got.sort_values("at")  # one row a feature
+    mean = (got["s"] / got["n"]).to_numpy()
+    scale = np.sqrt(np.maximum((got["ss"] / got["n"]).to_numpy() - mean**2, 0)) + 2
+    wide = (1 << BITS) + MEASURES
+    return [(mean[:wide], scale[:wide]), (mean[wide:], scale[wide:])]
+
+
+def surely(rows: DataFrame, views: list[View]) -> DataFrame:
+    """rows with sure_c and sure_m: what each view labels them, null if it is not sure."""
+    shared = rows.sparkSession.sparkContext.broadcast([vars(v) for v in views])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [View.__new__(View) for _ in shared.value]
+        for view, state in zip(own, shared.value):
+            vars(view).update(state)
+        for part in slices(batches, 2000):
+            told = [view.probability(x) for view, x in zip(own, unpacked(part))]
+            sure = [pa.array(p > 0.5, mask=(p < SURE) & (p > 1 - SURE)) for p in told]
+            yield pa.RecordBatch.from_arrays([*part.columns, *sure], [*part.schema.names, "sure_c", "sure_m"])
+
+    return rows.mapInArrow(run, "doc_id long, c binary, m binary, sure_c boolean, sure_m boolean")
+
+
+def exchanged(rows: DataFrame, views: list[View], salt: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view, rows of its features and the labels that the other one is sure of."""
+    sure = surely(rows, views)
+    kinds = [("sure_m", True), ("sure_m", False), ("sure_c", True), ("sure_c", False)]
+    many = sure.agg(*(F.count_if(F.col(k) == v).alias(f"n{i}") for i, (k, v) in enumerate(kinds))).first()
+    # DRAWN rows of each kind in expectation, whatever the input
+    drawn = [(F.col(k) == v) & (luck(salt + str(i)) < DRAWN / max(many[i], 1)) for i, (k, v) in enumerate(kinds)]
+    got = sure.select("doc_id", "c", "m", *(F.coalesce(d, F.lit(False)).alias(f"d{i}") for i, d in enumerate(drawn))).where("d0 or d1 or d2 or d3").toPandas()
+    got = got.sort_values(["doc_id", "c"], ignore_index=True)
+    out = []
+    for name, yes, no in (("c", "d0", "d1"), ("m", "d2", "d3")):
+        part = got[got[yes] | got[no]]
+        x = np.frombuffer(b"".join(part[name]), dtype=np.uint8).reshape(len(part), -1 if len(part) else len(views[len(out)].mean)).astype(np.float32)
+        out.append((x, part[yes].to_numpy(dtype=float)))
+    return out
+
+
+def fitted(rows: DataFrame, labels: DataFrame) -> Model | None:
+    """A model of rows (featured()) and labels (doc_id, quality); None if labels don't have two values."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.min("quality").cast("double").alias("quality"))
+    marks = marks.withColumn("doc_id", F.col("l_id"))
+    # LABELLED rows in expectation: its size is bounded whatever the input
+    marks = F.broadcast(marks.where(luck("label") < LABELLED / max(marks.count(), 1)).drop("doc_id"))
+    both = rows.join(marks, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
+    got = both.where("quality is not null").withColumn("fold", luck("fold") < FOLD).toPandas()
     got = got.sort_values(["doc_id", "c"], ignore_index=True)
-    x = [np.frombuffer(b"".join(got[k]), dtype=np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), dtype=np.float32) for k in "cm"]
-    known = got["quality"].notna().to_numpy()
-    y = (got["quality"].to_numpy()[known] > 0).astype(float)
-    fold = got["fold"].to_numpy(dtype=bool)[known]
+    y, fold = (got["quality"].to_numpy() > 0).astype(float), got["fold"].to_numpy(dtype=bool)
     if any(len(set(y[f])) < 2 for f in (fold, ~fold)):
         fold = np.arange(len(y)) % 4 == 0
     if any(len(set(y[f])) < 2 for f in (fold, ~fold)):
         return None
-    return Model(tuple(a[known] for a in x), y, fold, tuple(a[~known] for a in x))
+    x = [np.frombuffer(b"".join(got[k]), dtype=np.uint8).reshape(len(got), -1).astype(np.float32) for k in ("c", "m")]
+    model = Model(x, y, fold, scales(rows))
+    pool = both.where("quality is null").drop("quality")
+    for r in range(ROUNDS):
+        model.learn(exchanged(pool, model.views, f"round {r} "))
+    model.combine()
+    return model
 
 
-def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """A struct row of the columns keep, and quality_score, content_margin, metadata_margin, accepted."""
-    model = fitted(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model and {**vars(model), "views": [vars(v) for v in model.views]})
-    need = [*keep, *(c for c in ("text", "lang", "source") if c not in keep)]
-    rows = docs.select(F.struct(*need).alias("row"))
+def applied(rows: DataFrame, model: Model | None, keep: list[str], views: Callable[[pa.StructArray], list[np.ndarray]]) -> DataFrame:
+    """A struct row of the columns keep, and quality_score, content_margin, metadata_margin, accepted.
+
+    rows: the struct row; views gives both views of a batch of them.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model and {**vars(model), "views": [vars(v) for v in model.views]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
@@ -195,8 +301,7 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
             row, n = part.column("row"), part.num_rows
             m, s, good = np.zeros((n, 2)), np.ones(n), np.ones(n, dtype=bool)
             if model:
-                texts, langs, sources = (row.field(need.index(c)).to_pylist() for c in ("text", "lang", "source"))
-                x = [content(texts), metadata(texts, langs, sources)]
+                x = views(row)
                 m, s = model.margins(x), model.score(x)
                 good = s >= model.threshold
             new = [pa.array(v) for v in (s.astype(float), m[:, 0].astype(float), m[:, 1].astype(float), good)]
@@ -209,9 +314,25 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, quality_score, content_margin, metadata_margin, accepted)."""
-    return judged(docs, labels, ["doc_id"]).select("row.*", "quality_score", "content_margin", "metadata_margin", "accepted")
+    rows = featured(docs)
+    names = rows.columns
+
+    def views(row: pa.StructArray) -> list[np.ndarray]:
+        return unpacked(pa.RecordBatch.from_arrays([row.field(i) for i in range(len(names))], names))
+
+    got = applied(rows.select(F.struct("*").alias("row")), fitted(rows, labels), ["doc_id"], views)
+    return got.select("row.*", "quality_score", "content_margin", "metadata_margin", "accepted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts; the columns of docs."""
-    return judged(docs, labels, docs.columns).where("accepted").select("row.*")
+    rows = featured(docs)
+    model = fitted(rows, labels)
+    discard(rows)
+    need = needed(docs, docs.columns)
+    names = need.columns
+
+    def views(row: pa.StructArray) -> list[np.ndarray]:
+        return viewed(*(row.field(names.index(c)).to_pylist() for c in COLUMNS))
+
+    return applied(need.select(F.struct("*").alias("row")), model, docs.columns, views).where("accepted").select("row.*")

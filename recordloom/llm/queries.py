@@ -61,9 +61,14 @@ def op8_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from recordloom.llm.urls import judged
-
-    return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    from recordloom.llm.urls import judged, parts
+
+    # pages have no labels of their own: the last number of a path names the document shown
+    pages, marks = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(parts(F.col("url"))[1], "([0-9]{1,18})[^0-9/]*/?$", 1).try_cast("bigint")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    labels = pages.select("page_id", number.alias("doc_id")).join(marks.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+    return judged(pages, labels)
 
 
 def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

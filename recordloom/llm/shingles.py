@@ -1,4 +1,5 @@
-"""Hashed word shingles of a text: their set, its SimHash, and SimHashes of samples of it."""
+"""Hashed word shingles of a text: their set, its SimHash, SimHashes of samples of it, and a
+short mark of each shingle drawn, by which the similarity of two sets can be estimated."""
 
 from __future__ import annotations
 
@@ -81,9 +82,14 @@ def sample_prints(drawn: np.ndarray, tables: int) -> np.ndarray:
     return majority(mixed ^ (mixed >> np.uint64(31)))
 
 
+def marks(drawn: np.ndarray) -> np.ndarray:
+    """16 bits of each shingle drawn."""
+    return ((drawn * ODD) >> np.uint64(48)).astype("<u2")
+
+
 def signatures(batches: Iterator[pa.RecordBatch], ngram: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, n, fp, samples) of (doc_id, text); key is a 128-bit hash of the set of
-    n shingles, the same for texts with the same set."""
+    """(doc_id, key, n, fp, drawn, samples) of (doc_id, text); key is a 128-bit hash of the
+    set of n shingles, the same for texts with the same set."""
     times = odd_numbers(tables * SAMPLE, SEED)
     back = inverses(times)
     for part in slices(batches, 500):
@@ -95,9 +101,10 @@ def signatures(batches: Iterator[pa.RecordBatch], ngram: int, tables: int) -> It
             pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
             pa.array([len(s) for s in sets], pa.int32()),
             pa.array(np.array([whole_print(s) for s in sets], dtype=np.uint64).view(np.int64)),
+            pa.array([m.tobytes() for m in marks(drawn)], pa.binary()),
             pa.array([list(p) if len(s) else [] for s, p in zip(sets, prints)], pa.list_(pa.int64())),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "fp", "samples"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "fp", "drawn", "samples"])
 
 
 def keyed_sets(batches: Iterator[pa.RecordBatch], ngram: int) -> Iterator[pa.RecordBatch]:
@@ -105,4 +112,4 @@ def keyed_sets(batches: Iterator[pa.RecordBatch], ngram: int) -> Iterator[pa.Rec
     for part in slices(batches, 100):
         sets = [shingle_set(t, ngram) for t in part.column("text").to_pylist()]
         keys = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
+        yield pa.RecordBatch.from_arrays([keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])

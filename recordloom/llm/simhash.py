@@ -21,7 +21,11 @@ shingles instead; the index and SimHashes of samples give them candidates.
 
 Defined results: null text or text without words has fingerprint zero and links like
 any other; text with fewer words than a shingle is one shingle; repeated rows are
-repeated in the result; an empty table gives no rows; other columns are ignored.
+repeated in the result; rows without doc_id link like any other but name no component,
+which is null where none of its rows has a doc_id; ids keep all their 64 bits; an empty
+table gives no rows; other columns are ignored. For deduplicated(): rows without doc_id
+all stay, repeated rows are one row, texts without words are similar to each other alone,
+rows of one doc_id with several texts count as one text each and stay as one row of any.
 """
 
 from __future__ import annotations
@@ -32,11 +36,11 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import shingles
-from recordloom.llm.common import cut, shuffle_partitions, slices, written
+from recordloom.llm.common import blocks, cut, discard, grouped, shuffle_partitions, slices, written
 from recordloom.llm.components import components
 
 BITS = 64
@@ -47,7 +51,12 @@ NODE = 4096
 #: Neighbours in Gray order under one inner node.
 FAN = 8
 #: Queries that go down the tree at a time.
-BLOCK = 512
+QUERIES = 512
+#: Texts in one block of a bucket or candidate group, and in a candidate group at most.
+BLOCK, MANY = 128, 1024
+#: Share of the similarity that an estimate from 100 marks must reach: at a similarity of
+#: 0.8 an estimate below 0.64 is four standard deviations off.
+CLOSE = 0.8
 
 
 def fingerprint(text: str | None, ngram: int, chunk: int = 1 << 15) -> int:
@@ -118,8 +127,8 @@ def gray_tree(codes: np.ndarray, fan: int = FAN) -> list[tuple[np.ndarray, np.nd
 def gray_links(codes: np.ndarray, most: int, fan: int = FAN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of index pairs (i < j) of codes in Gray order at most so many bits apart."""
     levels = gray_tree(codes, fan)
-    for at in range(0, len(codes), BLOCK):
-        queries = np.arange(at, min(at + BLOCK, len(codes)))
+    for at in range(0, len(codes), QUERIES):
+        queries = np.arange(at, min(at + QUERIES, len(codes)))
         top = len(levels[0][0])
         query, node = np.repeat(queries, top), np.tile(np.arange(top), len(queries))
         apart = np.zeros(len(query), dtype=np.uint8)
@@ -223,70 +232,140 @@ def near_pairs(codes: DataFrame, most: int = MAX_BITS, node: int = NODE) -> Data
 def near_duplicates(docs: DataFrame, ngram: int = 3, most: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     prints = cut(fingerprints(docs, ngram))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    groups = components(near_pairs(classes, most).where("src <> dst")).withColumnRenamed("id", "member")
-    lookup = classes.join(groups, F.col("id") == F.col("member"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(lookup, "fp").select("doc_id", "fp", "component_id")
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = components(near_pairs(classes.select("fp", F.col("fp").alias("id")), most).where("src <> dst"))
+    lookup = classes.join(groups, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("of"))
+    names = lookup.groupBy("of").agg(F.min("least").alias("component_id"))
+    return prints.join(lookup.join(names, "of").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (src, dst) of keys whose sets (key, shingles) are similar enough."""
-    one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("src", "x"), ("dst", "y")))
-    both = pairs.join(one, "src").join(two, "dst")
-    enough = F.lit(similarity / (1 + similarity)) * (F.size("x") + F.size("y")) - 1e-9
-    return both.where(F.size(F.array_intersect("x", "y")) >= enough).select("src", "dst")
+def screened(rows: DataFrame, similarity: float) -> DataFrame:
+    """Stars (src, dst) of keys that stand in one group and whose marks agree in so large a
+    share; rows: bucket, low, high, own, key, n, drawn."""
+    keys = ["bucket", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, groups in grouped(batches, keys):
+            key, n, own = held.column("key").to_pylist(), held.column("n").to_numpy(), held.column("own").to_numpy()
+            drawn = np.frombuffer(b"".join(held.column("drawn").to_pylist()), dtype="<u2").reshape(held.num_rows, -1)
+            one_sided = held.column("low").to_numpy() == held.column("high").to_numpy()
+            src, dst = [], []
+            for a, b in groups:
+                label = np.arange(a, b)
+                for i in range(a, b - 1):
+                    near = (drawn[i + 1 : b] == drawn[i]).sum(axis=1) >= CLOSE * similarity * drawn.shape[1]
+                    near &= np.minimum(n[i + 1 : b], n[i]) >= similarity * np.maximum(n[i + 1 : b], n[i]) - 1e-9
+                    if not one_sided[a]:
+                        near &= own[i + 1 : b] != own[i]
+                    if near.any():
+                        others = np.flatnonzero(near) + i + 1 - a
+                        local = label - a
+                        merge(local, np.full(len(others), i - a), others)
+                        label = local + a
+                for at in np.flatnonzero(label != np.arange(a, b)):
+                    src.append(key[label[at]])
+                    dst.append(key[a + at])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+
+    spread = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return spread.select(*keys, "own", "key", "n", "drawn").mapInArrow(run, "src binary, dst binary")
+
+
+def set_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> np.ndarray:
+    """For each of the sets (sorted numbers without repeats) the first one of those it is
+    linked with by a Jaccard similarity; side: only sets of different sides are compared."""
+    label, size = np.arange(len(sets)), np.array([len(s) for s in sets])
+    ends = np.cumsum(size)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    flag = np.zeros(len(code) + 1, dtype=np.int64)
+    for i in range(len(sets) - 1):
+        apart = label[i + 1 :] != label[i]
+        if side is not None:
+            apart &= side[i + 1 :] != side[i]
+        apart &= np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9
+        if not apart.any():
+            continue
+        own = code[ends[i] - size[i] : ends[i]]
+        flag[own] = 1
+        # sets are never empty here, so that each starts a stretch of its own
+        both = np.add.reduceat(flag[code[ends[i] :]], ends[i:-1] - ends[i])
+        flag[own] = 0
+        near = apart & (both >= similarity / (1 + similarity) * (size[i + 1 :] + size[i]) - 1e-9)
+        if near.any():
+            others = np.flatnonzero(near) + i + 1
+            merge(label, np.full(len(others), i), others)
+    return label
+
+
+def compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """Stars (src, dst) of keys that stand in one group and whose sets are similar enough;
+    rows: unit, low, high, own, key, shingles."""
+    keys = ["unit", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, groups in grouped(batches, keys):
+            key, raw, own = held.column("key").to_pylist(), held.column("shingles"), held.column("own").to_numpy()
+            one_sided = held.column("low").to_numpy() == held.column("high").to_numpy()
+            src, dst = [], []
+            for a, b in groups:
+                sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in raw.slice(a, b - a)]
+                label = set_links(sets, None if one_sided[a] else own[a:b], similarity)
+                for at in np.flatnonzero(label != np.arange(b - a)):
+                    src.append(key[a + label[at]])
+                    dst.append(key[a + at])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+
+    spread = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return spread.select(*keys, "own", "key", "shingles").mapInArrow(run, "src binary, dst binary")
 
 
 def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, most: int = MAX_BITS) -> DataFrame:
     """(key, id, component): for each distinct set of shingles its smallest doc_id and the
     smallest one that links reach, where sets of that Jaccard similarity or more link.
 
-    Candidates are texts whose SimHash the index finds at most so many differing bits apart,
+    Buckets are texts whose SimHash the index finds at most so many differing bits apart,
     and texts with an equal SimHash of one of the samples of their shingles: at a similarity
-    of 0.8 whole SimHashes differ by ten bits, at which the index would prune nothing. All
-    links are checked with the sets themselves. First each text is compared with one
-    neighbour in a bucket, then with the neighbours in all its buckets that are not yet in
-    its component, and at last with all those in them that still are not, so that copies in
-    large groups are not compared in all pairs.
+    of 0.8 whole SimHashes differ by ten bits, at which the index would prune nothing. Within
+    a bucket the marks of the shingles drawn give an estimate for any two texts; those whose
+    estimate comes near the similarity form candidate groups. Each candidate's set then goes
+    once to its group, where all links are decided exactly. No pair is ever a row: buckets
+    and groups give stars, and those over BLOCK texts are divided into pairs of blocks. A
+    candidate group of more than MANY texts is compared by its buckets instead.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = text.mapInArrow(lambda b: shingles.signatures(b, ngram, shingles.TABLES), "doc_id long, key binary, n int, fp long, samples array<long>")
-    first = F.min_by(F.struct("n", "fp", "samples"), "doc_id").alias("s")
+    prints = text.mapInArrow(lambda b: shingles.signatures(b, ngram, shingles.TABLES), "doc_id long, key binary, n int, fp long, drawn binary, samples array<long>")
+    first = F.min_by(F.struct("n", "fp", "drawn", "samples"), "doc_id").alias("s")
     classes = written(prints.groupBy("key").agg(F.min("doc_id").alias("id"), first).select("key", "id", "s.*"))
 
     whole = classes.where("n > 0").select("fp").distinct()
-    stars = cut(near_pairs(whole.select("fp", F.col("fp").alias("id")), most).where("src <> dst"))
-    groups = components(stars).select(F.col("id").alias("fp"), F.col("component").alias("of"))
-    by_whole = classes.where("n > 0").join(groups, "fp", "left").select(F.coalesce("of", "fp").alias("bucket"), "key", "n")
-    by_sample = classes.select(F.explode("samples").alias("bucket"), "key", "n")
-
-    def neighbours(rows: DataFrame, seed: int) -> DataFrame:
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), "key"), "key")
-        before = {c: F.lag(c).over(order).alias(f"before_{c}") for c in rows.columns if c != "bucket"}
-        return rows.select("*", *before.values(), F.lead("key").over(order).alias("after"))
-
-    members = written(neighbours(by_whole.union(by_sample).distinct(), 0).where("before_key is not null or after is not null"))
-    wanted = written(members.select("key").distinct())
+    stars = written(near_pairs(whole.select("fp", F.col("fp").alias("id")), most).where("src <> dst").distinct())
+    around = stars.select("src", F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    in_stars = classes.where("n > 0").join(around, "fp").select(F.xxhash64(F.lit("star"), "src").alias("bucket"), "key")
+    equal = classes.where("n > 0").select(F.xxhash64(F.lit("whole"), "fp").alias("bucket"), "key")
+    met = classes.select(F.explode("samples").alias("bucket"), "key").union(equal).union(in_stars)
+    shared = met.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 1")
+    members = written(met.join(shared, "bucket"))
+    discard(stars)
+    near = written(screened(blocks(members.join(classes.select("key", "n", "drawn"), "key"), ["bucket"], "key", BLOCK), similarity))
+    groups = components(near).select(F.col("id").alias("key"), F.col("component").alias("of"))
+    discard(near)
+
+    sizes = groups.groupBy("of").agg(F.count("*").alias("count"))
+    sized = groups.join(sizes, "of")
+    small = sized.where(F.col("count") <= MANY).select(F.xxhash64(F.lit("group"), "of").alias("unit"), "key", "count")
+    # within one bucket, candidates of different groups can't be linked
+    large = members.join(sized.where(F.col("count") > MANY).select("key", "of"), "key").select(F.xxhash64("bucket", "of").alias("unit"), "key")
+    large = large.join(large.groupBy("unit").agg(F.count("*").alias("count")).where("count > 1"), "unit").select("unit", "key", "count")
+    units = written(blocks(small.union(large), ["unit"], "key", BLOCK))
+    wanted = groups.select("key")
     ids = wanted.join(classes, "key").select("id").distinct()
-    sets = text.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda b: shingles.keyed_sets(b, ngram), "key binary, shingles array<long>")
+    sets = text.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda b: shingles.keyed_sets(b, ngram), "key binary, shingles binary")
     sets = written(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-
-    pairs = members.where("before_key is not null").groupBy(F.col("key").alias("src")).agg(F.min("before_key").alias("dst"))
-    links = written(similar_pairs(pairs, sets, similarity))
-    for last in (False, True):
-        label = components(links).select(F.col("id").alias("key"), F.col("component").alias("of"))
-        rows = members.select("bucket", "key", "n").join(label, "key", "left").select("bucket", "key", "n", F.coalesce("of", "key").alias("of"))
-        apart = rows.groupBy("bucket").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("bucket")
-        rows = written(rows.join(apart, "bucket", "left_semi"))
-        if last:
-            other = rows.select("bucket", *(F.col(c).alias(f"before_{c}") for c in ("key", "n", "of")))
-            near = rows.join(other, "bucket").where("of < before_of")
-        else:
-            near = neighbours(rows, 1).where("of <> before_of")
-        near = near.where(F.least("n", "before_n") >= F.lit(similarity) * F.greatest("n", "before_n") - 1e-9)
-        pairs = near.select(F.least("key", "before_key").alias("src"), F.greatest("key", "before_key").alias("dst")).distinct()
-        links = links.union(written(similar_pairs(pairs, sets, similarity)))
+    links = written(compared(units.join(sets, "key"), similarity))
+    for done in (members, units, sets, groups):
+        discard(done)
     label = components(links).select(F.col("id").alias("key"), F.col("component").alias("of"))
+    discard(links)
     named = classes.select("key", "id").join(label, "key", "left").select("key", "id", F.coalesce("of", "key").alias("of"))
     return named.join(named.groupBy("of").agg(F.min("id").alias("component")), "of").select("key", "id", "component")
 
