@@ -6,8 +6,9 @@ Each view has a logistic classifier, calibrated on a fold of labelled documents
 classifier has seen. In each round every document without a label is scored by both views;
 those of which a view is sure, by its calibrated probability, are pseudo-labels for the
 other view. A view that knows little is never sure and hands on nothing. At last the fold
-calibrates the combination of both views, and sets the threshold so that at least KEEP of
-its good documents pass.
+calibrates the combination of both views. The threshold is one half, or less where the
+good documents of the fold lie lower: SPREADS robust deviations under their median, so
+that a few wrong labels can't pull it down.
 
 Bounds: LABELLED labelled documents are learned from, and DRAWN pseudo-labels of each kind
 and view a round, both in expectation and by a hash of doc_id. All else covers every
@@ -43,7 +44,8 @@ ROUNDS = 3
 #: Calibrated probability from which a view is sure.
 SURE = 0.95
 FOLD = 0.25
-KEEP = 0.99
+#: Robust deviations (of log odds) under the median of good documents that still pass.
+SPREADS = 4.0
 #: Steps of a content feature to 1, and the columns of measures.
 STEPS, MEASURES = 40, 10
 
@@ -98,7 +100,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(a: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+def logistic(a: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Weights of a logistic fit on few columns, by Newton's method."""
     w = np.zeros(a.shape[1])
     for _ in range(30):
@@ -161,15 +163,19 @@ class Model:
         margins = self.margins([a[self.fold] for a in self.x])
         self.centre, self.spread = margins.mean(axis=0), margins.std(axis=0) + 1e-6
         self.joint = logistic(np.c_[(margins - self.centre) / self.spread, np.ones(len(margins))], self.y[self.fold])
-        good = np.sort(self.score([a[self.fold] for a in self.x])[self.y[self.fold] > 0])
-        self.threshold = float(min(0.5, good[int((1 - KEEP) * len(good))])) if len(good) else 0.0
+        good = self.odds([a[self.fold] for a in self.x])[self.y[self.fold] > 0]
+        low = np.median(good) - SPREADS * 1.4826 * np.median(np.abs(good - np.median(good)))
+        self.threshold = float(min(0.5, sigmoid(low)))
         del self.x, self.y, self.fold
 
     def margins(self, x: list[np.ndarray]) -> np.ndarray:
         return np.stack([view.margin(a) for view, a in zip(self.views, x)], axis=1)
 
+    def odds(self, x: list[np.ndarray]) -> np.ndarray:
+        return np.c_[(self.margins(x) - self.centre) / self.spread, np.ones(len(x[0]))] @ self.joint
+
     def score(self, x: list[np.ndarray]) -> np.ndarray:
-        return sigmoid(np.c_[(self.margins(x) - self.centre) / self.spread, np.ones(len(x[0]))] @ self.joint)
+        return sigmoid(self.odds(x))
 
 
 def luck(salt: str) -> Column:

@@ -279,6 +279,19 @@ def test_simhash_awkward(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0 and simhash.deduplicated(none(spark)).count() == 0
 
 
+def test_ids_stay_whole_beside_nulls(spark):
+    big = 2**53 + 1
+    rows = [(None, "a b c d"), (big, "a b c d"), (big + 2, "e f g h i"), (None, "only without an id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, big), (big, big), (big + 2, big + 2)]
+    assert sorted(r.doc_id or 0 for r in packing.packed(docs).collect()) == [0, 0, big, big + 2]
+    assert sorted(r.doc_id or 0 for r in simhash.deduplicated(docs).collect()) == [0, 0, big, big + 2]
+    named = docs.selectExpr("*", "'en' lang", "'src0' source")
+    assert sorted(r.doc_id or 0 for r in mixing.chosen(named, percent=100, epochs=1).collect()) == [0, 0, big, big + 2]
+    assert sorted(r.doc_id or 0 for r in secrets.scan(docs).collect()) == sorted(r.doc_id or 0 for r in rules.judged(named).collect()) == [0, 0, big, big + 2]
+
+
 # --- 5 substring
 
 
@@ -332,6 +345,27 @@ def test_quality_separates_labelled_documents(spark, sf):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def test_quality_views_are_separate():
+    same = quality.content(["one text", "one text"])
+    assert (same[0] == same[1]).all() and (quality.metadata(["en"], ["src1"], [9]) != quality.metadata(["en"], ["src1"], [900])).any()
+    view = quality.metadata(["en", None], [None, "s"], [None, 2**40])
+    assert view.shape == (2, 2 * quality.HASHED + quality.SIZES) and (view > 0).sum() == 6
+
+
+def test_quality_hands_on_what_a_view_is_sure_of(spark):
+    """Junk of one source: the metadata view knows it and labels documents for the content view."""
+    rng = np.random.default_rng(3)
+    good, junk = [f"w{i}" for i in range(300)], [f"x{i}x" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(junk if i % 3 == 0 else good, 40)), "en", "bad" if i % 3 == 0 else "fine", 200) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 600, 4)], "doc_id long, quality int")
+    features = quality.featured(docs)
+    model = quality.fitted(features, labels)
+    to_content, to_metadata = quality.exchanged(features, model.views, "t")
+    assert set(to_content[1]) == set(to_metadata[1]) == {0.0, 1.0}
+    assert all(r.accepted == (r.doc_id % 3 > 0) for r in quality.scored(docs, labels).collect())
+
+
 def test_quality_awkward(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(4, 1), (5, 0), (7, 1), (10, 0), (10, None), (None, 1), (6, 1), (9, 0)], "doc_id long, quality int")
@@ -494,7 +528,7 @@ def test_urls_query(spark, sf):
 def test_urls_awkward(spark):
     odd = [None, "", "no scheme/x", "http://", "HTTP://WWW.Example.COM/en/7?x", "http://com/en/", "http://xcom/en/", "http://a.net/de/8", "http://b.example.net/de/8/9#f", "http://h?q=://z/en/", "x://y://z", "http://\u00c4.com/en/", "http://a.com:80/en/"]
     pages = spark.createDataFrame([(i, u, "h", "host", "v") for i, u in enumerate(odd)] + [(0, None, "h", "host", "v")], "page_id long, url string, html string, host string, verdict string")
-    labels = spark.createDataFrame([(0, None, None), (1, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(0, None), (1, 1), (None, 0), (1, 0)], "page_id long, bad int")
     got = urls.judged(pages, labels).collect()
     assert len(got) == len(odd) + 1
     for r in got:
@@ -503,14 +537,100 @@ def test_urls_awkward(spark):
     assert urls.judged(pages, None).count() == len(odd) + 1
 
 
+def plain_purity(pages):
+    """Purity by (host, generalised path) of pages (host, path, bad or None), by recursion."""
+    wild = lambda x: "*" if len(x) > urls.LONG_SEGMENT else re.sub("[0-9]+|[0-9a-f]{8,}", "*", x)
+    rows = {}
+    for host, path, bad in pages:
+        raw = "/".join(wild(x) for x in re.sub("^/", "", path).split("/"))
+        n, lab, b = rows.get((host, raw), (0, 0, 0))
+        rows[host, raw] = n + 1, lab + (bad is not None), b + (bad or 0)
+    smooth = lambda bad, lab, above: (bad + urls.SMOOTHING * above) / (lab + urls.SMOOTHING)
+    add = lambda parts: tuple(map(sum, zip(*parts)))
+    beta = lambda b, g: math.lgamma(b + 1) + math.lgamma(g + 1) - math.lgamma(b + g + 2)
+    out = {}
+
+    def walk(held, level, rate):
+        if len(held) == 1:
+            out[next(iter(held))] = 1 - rate
+            return
+        own = {k: k[1].split("/")[level] if level < len(k[1].split("/")) else None for k in held}
+        child = {c: add([held[k] for k in held if own[k] == c]) for c in set(own.values())}
+        novel = sum(n == 1 for n, _, _ in child.values()) / (sum(n for n, _, _ in child.values()) + urls.SMOOTHING) > urls.VARIABLE
+        branch = {c: "*" if novel and c is not None and child[c][0] == 1 else c for c in child}
+        sums = {x: add([child[c] for c in child if branch[c] == x]) for x in set(branch.values())}
+        groups = {}
+        for x, (_, lab, bad) in sums.items():
+            if lab and x is not None:
+                groups.setdefault((lab, bad), []).append(x)
+        held_together = [(xs, lab * len(xs), bad * len(xs)) for (lab, bad), xs in sorted(groups.items(), key=lambda g: ((g[0][1] + 1) / (g[0][0] + 2), g[0][0]))]
+        while len(held_together) > 1:
+            gain = [beta(b + d, a - b + c - d) - beta(b, a - b) - beta(d, c - d) for (_, a, b), (_, c, d) in itertools.pairwise(held_together)]
+            k = gain.index(max(gain))
+            if gain[k] <= 1e-9:
+                break
+            (xs, a, b), (ys, c, d) = held_together[k : k + 2]
+            held_together[k : k + 2] = [(xs + ys, a + c, b + d)]
+        final = {x: ("one", x) for x in sums} | {x: ("several", k) for k, (xs, _, _) in enumerate(held_together) if len(xs) > 1 for x in xs}
+        for f in set(final.values()):
+            _, lab, bad = add([sums[x] for x in sums if final[x] == f])
+            below = {k: held[k] for k in held if final[branch[own[k]]] == f}
+            new = smooth(bad, lab, rate) if len(set(final.values())) > 1 else rate
+            ended = {k for k in below if own[k] is None}
+            out.update({k: 1 - new for k in ended})
+            if below.keys() - ended:
+                walk({k: v for k, v in below.items() if k not in ended}, level + 1, new)
+
+    _, lab, bad = add(rows.values())
+    for host in {h for h, _ in rows}:
+        own = {k: v for k, v in rows.items() if k[0] == host}
+        _, h_lab, h_bad = add(own.values())
+        walk(own, 0, smooth(h_bad, h_lab, bad / max(lab, 1)))
+    return {k: v for k, v in out.items()}, wild
+
+
+def check_tree(spark, pages):
+    """pages: (page_id, url, bad or None)."""
+    got = urls.judged(spark.createDataFrame([p[:2] for p in pages], "page_id long, url string"), spark.createDataFrame([(i, b) for i, _, b in pages], "page_id long, bad int")).collect()
+    want, wild = plain_purity([(*plain_url(u)[:2], b) for _, u, b in pages])
+    for r in got:
+        raw = "/".join(wild(x) for x in re.sub("^/", "", r.path).split("/"))
+        assert r.purity == pytest.approx(want[r.host, raw], abs=1e-9)
+        if r.rule is None:
+            assert r.verdict == ("block" if want[r.host, raw] < urls.PURITY else "allow")
+    return got
+
+
+def test_urls_tree_equals_brute_force(spark, sf):
+    rng = np.random.default_rng(15)
+    names = ["a", "b", "cc", "news", "shop", "x1", "y", ""]
+    pages = []
+    for i in range(900):
+        steps = [names[k] for k in rng.integers(0, len(names), rng.integers(1, 6))]
+        rate = 0.8 if "shop" in steps else 0.1
+        bad = None if rng.random() < 0.5 else int(rng.random() < rate)
+        pages.append((i, f"http://h{rng.integers(0, 3)}.info/" + "/".join(steps) + f"/{i}", bad))
+    check_tree(spark, pages)
+    labels = {r["doc_id"]: int(r["quality"] == 0) for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    check_tree(spark, [(p["page_id"], p["url"], labels.get(p["page_id"])) for p in pq.read_table(f"{sf}/pages.parquet").to_pylist()])
+
+
 def test_urls_tree_rejects_impure_templates(spark):
-    rows, labels = [], []
+    """A bad template among other branches of its host, some of them without any label, at any depth."""
+    pages = []
     for i in range(400):
-        section = "spam" if i % 4 == 0 else "news" if i % 4 == 1 else "blog"
-        rows.append((i, f"http://mix.example.info/{section}/{i}/x.html"))
-        labels.append((i, 0 if section == "spam" else 1, 0))
-    got = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+        section = ("a/b/c/d/e/spam", "a/b/c/d/e/news", "a/b/c/d/blog", "unseen")[i % 4]
+        pages.append((i, f"http://mix.example.info/{section}/{i}/x.html", None if section == "unseen" else int("spam" in section)))
+    got = check_tree(spark, pages)
     assert {r.verdict for r in got if "/spam/" in r.path} == {"block"} and {r.verdict for r in got if "/spam/" not in r.path} == {"allow"}
+    assert len({r.template for r in got if "/blog/" in r.path} | {r.template for r in got if "/news/" in r.path}) == 2
+
+
+def test_urls_identifiers_are_wildcards(spark):
+    pages = [(i, f"http://u.info/user/{''.join(chr(97 + int(c)) for c in str(i * 7919))}q/home", int(i % 2)) for i in range(60)]
+    pages += [(100 + i, "http://u.info/about", 0) for i in range(5)]
+    got = check_tree(spark, pages)
+    assert len({r.template for r in got if r.path != "/about"}) == 1
 
 
 # --- 10 rules
@@ -575,6 +695,70 @@ def test_rules_reject_repeated_lines_alone(spark):
     assert not any(r.base_failed for r in got) and [r.doc_id for r in got if not r.kept] == [300, 302]
 
 
+def plain_distances(rows):
+    """Squared distances of rows (lang, source, features, n_words), by estimates in NumPy."""
+    floor = np.diag(np.array(rules.FLOOR) ** 2)
+    distance = lambda x, m, c: np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
+
+    def estimate(x):
+        place = np.floor(x / rules.GRID).astype(int)
+        _, own, n = np.unique(place, axis=0, return_inverse=True, return_counts=True)
+        mean = np.stack([x[own.ravel() == k].mean(axis=0) for k in range(len(n))])
+        odd = np.array([place[own.ravel() == k][0].sum() % 2 for k in range(len(n))])
+        full = np.repeat(mean, n, axis=0)
+        middle = np.median(full, axis=0)
+        spread = 1.4826 * np.median(np.abs(full - middle), axis=0) + np.array(rules.FLOOR)
+        z = (mean - middle) / spread
+        weight = n / np.maximum((z * z).sum(axis=1), 1e-9)
+        begin = [(middle, np.diag(spread**2)), (middle, 4 * (z * weight[:, None]).T @ z / n.sum() * np.outer(spread, spread))]
+        for k in (0, 1):
+            part = x[odd[own.ravel()] == k]
+            if len(part):
+                begin.append((part.mean(axis=0), rules.SCALE * np.cov(part.T, bias=True).reshape(4, 4)))
+        ended = []
+        for m, c in begin:
+            before = None
+            while True:
+                far = distance(mean, m, c + floor)
+                near = far <= np.percentile(np.repeat(far, n), 100 * rules.SHARE) + 1e-12
+                part = x[near[own.ravel()]]
+                m2, c2 = part.mean(axis=0), rules.SCALE * np.cov(part.T, bias=True).reshape(4, 4)
+                now = np.linalg.slogdet(c2 + floor)[1]
+                if before is not None and now >= before - rules.FALL:
+                    break
+                m, c, before = m2, c2, now
+            ended.append((before, m, c))
+        return min(ended, key=lambda e: e[0])[1:]
+
+    def mix(own, above, n):
+        w = (n / rules.EVEN) ** 2 / (1 + (n / rules.EVEN) ** 2)
+        gap = own[0] - above[0]
+        return w * own[0] + (1 - w) * above[0], w * own[1] + (1 - w) * above[1] + w * (1 - w) * np.outer(gap, gap)
+
+    x = np.array([r[2] for r in rows])
+    sound = np.array([r[3] >= rules.LEAST_WORDS for r in rows])
+    every = estimate(x[sound])
+    out = np.zeros(len(rows))
+    for lang in {r[0] for r in rows}:
+        own = np.array([r[0] == lang for r in rows])
+        of_lang = mix(estimate(x[own & sound]), every, (own & sound).sum()) if (own & sound).any() else every
+        for source in {r[1] for r in rows if r[0] == lang}:
+            group = own & np.array([r[1] == source for r in rows])
+            m, c = mix(estimate(x[group & sound]), of_lang, (group & sound).sum()) if (group & sound).any() else of_lang
+            out[group] = distance(x[group], m, c + floor)
+    return out
+
+
+def test_rules_distances_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "lang", "if(doc_id % 3 = 0, 'a', 'b') source")
+    stats = rules.features(rules.statistics(docs)).orderBy("doc_id").collect()
+    want = plain_distances([(r.lang, r.source, [r[x] for x in rules.FEATURES], r.n_words) for r in stats])
+    got = {r.doc_id: r for r in rules.judged(docs).collect()}
+    far = np.array([got[r.doc_id].distance for r in stats])
+    assert np.allclose(far, want, rtol=1e-6, atol=1e-9)
+    assert [got[r.doc_id].kept for r in stats] == [bool(d <= rules.LIMIT) and not got[r.doc_id].base_failed for r, d in zip(stats, want)]
+
+
 def test_rules_awkward(spark):
     docs = awkward(spark)
     got = rules.judged(docs).collect()
@@ -586,7 +770,11 @@ def test_rules_awkward(spark):
 # --- near copies, by the similarity of sets of shingles
 
 
-def test_similar_classes_equal_brute_force(spark):
+@pytest.mark.parametrize(("block", "many"), [(128, 1024), (4, 1024), (4, 8)])
+def test_similar_classes_equal_brute_force(spark, monkeypatch, block, many):
+    """With whole groups, with groups divided into blocks, and with large groups compared by bucket."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "MANY", many)
     rng = np.random.default_rng(11)
     word = lambda: f"w{rng.integers(0, 5000)}"
     texts = []

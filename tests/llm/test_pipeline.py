@@ -4,7 +4,7 @@ import zlib
 
 import corpus_pipeline as p
 from recordloom.llm import mixing, quality, simhash
-from tests.llm.test_operators import base_spans, check_packing, entropy_spans, expected_pieces, plain_components
+from tests.llm.test_operators import awkward, base_spans, check_packing, entropy_spans, expected_pieces, plain_components
 
 
 def test_stages(spark, sf):
@@ -46,6 +46,21 @@ def test_stages(spark, sf):
     check_packing(rows, expected_pieces([(r.doc_id, r.text) for r in mix.collect()], 4096), 4096)
 
 
+def test_stages_on_awkward_rows_and_an_empty_table(spark, sf):
+    """Nulls, empty and long texts, repeated rows, and columns that clash with the stages' own."""
+    docs = awkward(spark)
+    docs = docs.union(docs.selectExpr("cast(null as long)", *docs.columns[1:]).limit(2))
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        if name == "packing":
+            assert len(rows) >= docs.count()
+        else:
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert len(rows) == {"secrets": 13, "quality": len(rows), "near_duplicates": 8, "mixing": len(rows)}[name] and len(rows) <= 13
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_run(spark, sf):
     rows = p.run(spark, sf).collect()
     assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
