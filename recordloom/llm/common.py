@@ -58,18 +58,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def blocks(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
-    """rows (keys, count: how many rows those keys have, and more) with low and high: groups
-    of one block of rows, or of two, so that any two rows with equal keys meet in one group.
-
-    A row's block, the column own, comes from a hash of the column by. Groups hold about
-    2 * block rows at most, however many rows have the same keys; rows of keys that fit one
-    block are not repeated.
-    """
+def dealt(rows: DataFrame, by: str, block: int, seed: int) -> DataFrame:
+    """rows (with count: how many rows have the same keys) with own, low and high, which are
+    the same: a block of such rows by a hash of the column by, about block rows or fewer."""
     n = F.greatest(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
-    out = rows.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), by), n).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return out.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "count")
+    own = F.pmod(F.xxhash64(F.lit(seed), by), n).cast("int")
+    return rows.withColumns({"own": own, "low": own, "high": own})
+
+
+def crossed(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """rows (with odd: whether a row is one of the many or a stray, and n_odd and n_even: how
+    many of both have the same keys) with low and high: groups of one block of strays, or of
+    two blocks one of which holds strays, so that a stray meets every row and the many do not
+    meet each other. Column own is a row's block. With few strays each row comes a few times."""
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    of = lambda n: F.pmod(F.xxhash64(F.lit("crossed"), by), F.greatest(blocks(n), F.lit(1))).cast("int")
+    out = rows.withColumn("own", F.when(F.col("odd"), of("n_odd")).otherwise(blocks("n_odd") + of("n_even")))
+    last = F.when(F.col("odd"), blocks("n_odd") + blocks("n_even")).otherwise(blocks("n_odd")) - 1
+    out = out.withColumn("other", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    return out.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "odd", "n_odd", "n_even")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:

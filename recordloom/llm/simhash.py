@@ -30,7 +30,7 @@ rows of one doc_id with several texts count as one text each and stay as one row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import shingles
-from recordloom.llm.common import blocks, cut, discard, grouped, shuffle_partitions, slices, written
+from recordloom.llm.common import crossed, cut, dealt, discard, grouped, shuffle_partitions, slices, written
 from recordloom.llm.components import components
 
 BITS = 64
@@ -52,8 +52,8 @@ NODE = 4096
 FAN = 8
 #: Queries that go down the tree at a time.
 QUERIES = 512
-#: Texts in one block of a bucket or candidate group, and in a candidate group at most.
-BLOCK, MANY = 128, 1024
+#: Texts in one block of a bucket or candidate group.
+BLOCK = 128
 #: Share of the similarity that an estimate from 100 marks must reach: at a similarity of
 #: 0.8 an estimate below 0.64 is four standard deviations off.
 CLOSE = 0.8
@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, most: int = MAX_BITS) -> Da
 
 def screened(rows: DataFrame, similarity: float) -> DataFrame:
     """Stars (src, dst) of keys that stand in one group and whose marks agree in so large a
-    share; rows: bucket, low, high, own, key, n, drawn."""
-    keys = ["bucket", "low", "high"]
+    share; rows: unit, low, high, own, key, n, drawn."""
+    keys = ["unit", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, groups in grouped(batches, keys):
@@ -319,6 +319,41 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
     return spread.select(*keys, "own", "key", "shingles").mapInArrow(run, "src binary, dst binary")
 
 
+def grouped_links(rows: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) of the keys that compare() links with another one; rows: unit, key,
+    count (keys of the unit). compare() gives stars within the groups (unit, low, high).
+
+    A unit of BLOCK keys or fewer is one group. A larger one is dealt out twice into random
+    blocks, in which all that is linked densely comes together; then keys outside the unit's
+    largest component so far are compared with all others of the unit, in blocks again. So
+    each link is found or its ends have met already, and a unit of copies costs a few groups
+    a block, not all pairs of its blocks.
+    """
+    stars = written(compare(dealt(rows, "key", BLOCK, 0)))
+    large = written(rows.where(F.col("count") > BLOCK))
+    if large.isEmpty():
+        found = components(stars)
+    else:
+        more = written(compare(dealt(large, "key", BLOCK, 1)))
+        found = components(stars.union(more))
+        label = found.select(F.col("id").alias("key"), F.col("component").alias("of"))
+        named = written(large.join(label, "key", "left").select("unit", "key", "count", F.coalesce("of", "key").alias("of")))
+        sizes = named.groupBy("unit", "of").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("unit").agg(F.max(F.struct("n", "of")).alias("top")).select("unit", "top.n", F.col("top.of").alias("top"))
+        apart = named.join(most, "unit").where(F.col("n") < F.col("count"))
+        apart = apart.select("unit", "key", (F.col("of") != F.col("top")).alias("odd"), (F.col("count") - F.col("n")).alias("n_odd"), F.col("n").alias("n_even"))
+        strays = written(compare(crossed(apart, "key", BLOCK)))
+        if not strays.isEmpty():
+            joined = found.select(F.col("id").alias("src"), F.col("component").alias("dst"))
+            before, found = found, components(joined.union(strays))
+            discard(before)
+        for done in (more, named, strays):
+            discard(done)
+    for done in (stars, large):
+        discard(done)
+    return found
+
+
 def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, most: int = MAX_BITS) -> DataFrame:
     """(key, id, component): for each distinct set of shingles its smallest doc_id and the
     smallest one that links reach, where sets of that Jaccard similarity or more link.
@@ -328,9 +363,8 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, mo
     of 0.8 whole SimHashes differ by ten bits, at which the index would prune nothing. Within
     a bucket the marks of the shingles drawn give an estimate for any two texts; those whose
     estimate comes near the similarity form candidate groups. Each candidate's set then goes
-    once to its group, where all links are decided exactly. No pair is ever a row: buckets
-    and groups give stars, and those over BLOCK texts are divided into pairs of blocks. A
-    candidate group of more than MANY texts is compared by its buckets instead.
+    to its group, where links are decided exactly. No pair is ever a row: buckets and groups
+    give stars (grouped_links()).
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = text.mapInArrow(lambda b: shingles.signatures(b, ngram, shingles.TABLES), "doc_id long, key binary, n int, fp long, drawn binary, samples array<long>")
@@ -340,32 +374,27 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, mo
     whole = classes.where("n > 0").select("fp").distinct()
     stars = written(near_pairs(whole.select("fp", F.col("fp").alias("id")), most).where("src <> dst").distinct())
     around = stars.select("src", F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    in_stars = classes.where("n > 0").join(around, "fp").select(F.xxhash64(F.lit("star"), "src").alias("bucket"), "key")
-    equal = classes.where("n > 0").select(F.xxhash64(F.lit("whole"), "fp").alias("bucket"), "key")
-    met = classes.select(F.explode("samples").alias("bucket"), "key").union(equal).union(in_stars)
-    shared = met.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 1")
-    members = written(met.join(shared, "bucket"))
+    in_stars = classes.where("n > 0").join(around, "fp").select(F.xxhash64(F.lit("star"), "src").alias("unit"), "key")
+    equal = classes.where("n > 0").select(F.xxhash64(F.lit("whole"), "fp").alias("unit"), "key")
+    met = classes.select(F.explode("samples").alias("unit"), "key").union(equal).union(in_stars)
+    shared = met.groupBy("unit").agg(F.count("*").alias("count")).where("count > 1")
+    members = written(met.join(shared, "unit"))
     discard(stars)
-    near = written(screened(blocks(members.join(classes.select("key", "n", "drawn"), "key"), ["bucket"], "key", BLOCK), similarity))
-    groups = components(near).select(F.col("id").alias("key"), F.col("component").alias("of"))
-    discard(near)
+    marks = classes.select("key", "n", "drawn")
+    near = grouped_links(members, lambda rows: screened(rows.join(marks, "key"), similarity))
+    discard(members)
 
+    groups = near.select(F.col("id").alias("key"), F.col("component").alias("of"))
     sizes = groups.groupBy("of").agg(F.count("*").alias("count"))
-    sized = groups.join(sizes, "of")
-    small = sized.where(F.col("count") <= MANY).select(F.xxhash64(F.lit("group"), "of").alias("unit"), "key", "count")
-    # within one bucket, candidates of different groups can't be linked
-    large = members.join(sized.where(F.col("count") > MANY).select("key", "of"), "key").select(F.xxhash64("bucket", "of").alias("unit"), "key")
-    large = large.join(large.groupBy("unit").agg(F.count("*").alias("count")).where("count > 1"), "unit").select("unit", "key", "count")
-    units = written(blocks(small.union(large), ["unit"], "key", BLOCK))
+    units = written(groups.join(sizes, "of").select(F.xxhash64("of").alias("unit"), "key", "count"))
     wanted = groups.select("key")
     ids = wanted.join(classes, "key").select("id").distinct()
     sets = text.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda b: shingles.keyed_sets(b, ngram), "key binary, shingles binary")
     sets = written(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    links = written(compared(units.join(sets, "key"), similarity))
-    for done in (members, units, sets, groups):
+    label = grouped_links(units, lambda rows: compared(rows.join(sets, "key"), similarity))
+    for done in (units, sets, near):
         discard(done)
-    label = components(links).select(F.col("id").alias("key"), F.col("component").alias("of"))
-    discard(links)
+    label = label.select(F.col("id").alias("key"), F.col("component").alias("of"))
     named = classes.select("key", "id").join(label, "key", "left").select("key", "id", F.coalesce("of", "key").alias("of"))
     return named.join(named.groupBy("of").agg(F.min("id").alias("component")), "of").select("key", "id", "component")
 
