@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def floor_div(a: Column, b: Column) -> Column:
-    """Division that rounds down; null for a zero divisor."""
-    return F.floor(a / F.when(b != 0, b)).cast("bigint")
+    """Whole-number division that rounds down, exact to 64 bits; null for a zero divisor."""
+    d = F.when(b != 0, b).cast("bigint")
+    n = a.cast("bigint")
+    return F.call_function("div", n - floor_mod(n, d), d)
 
 
 def floor_mod(a: Column, b: Column) -> Column:
@@ -30,12 +32,20 @@ OPERATORS = {
 }
 
 
+def fractional(node: ast.AST) -> bool:
+    """Whether an operand has a fraction: a number with a point, or a division."""
+    return any(isinstance(n, ast.Div) or (isinstance(n, ast.Constant) and isinstance(n.value, float)) for n in ast.walk(node))
+
+
 def compiled(text: str, fields: Mapping[str, Column]) -> Column:
     """A column for + - * / // % over numbers and field names; anything else is refused."""
 
     def build(node: ast.AST) -> Column:
         if isinstance(node, ast.BinOp) and type(node.op) in OPERATORS:
-            return OPERATORS[type(node.op)](build(node.left), build(node.right))
+            left, right = build(node.left), build(node.right)
+            if isinstance(node.op, ast.FloorDiv) and fractional(node):
+                return F.floor(left / F.when(right != 0, right))
+            return OPERATORS[type(node.op)](left, right)
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return F.lit(node.value)
         if isinstance(node, ast.Name):

@@ -74,9 +74,12 @@ def colours_565(c: np.ndarray) -> np.ndarray:
 
 
 def blocks_rgba(raw: bytes, width: int, height: int, alpha: bool) -> bytes:
-    """Block textures: 8 bytes a block of 4 x 4, or 16 with interpolated alpha."""
+    """Block textures: 8 bytes a block of 4 x 4, or 16 with interpolated alpha; all of it is
+    transparent where the data is short."""
     size, across, down = (16 if alpha else 8), -(-width // 4), -(-height // 4)
-    data = np.frombuffer(raw[: size * across * down].ljust(size * across * down, b"\0"), dtype=np.uint8).reshape(-1, size)
+    if len(raw) < size * across * down:
+        return bytes(4 * width * height)
+    data = np.frombuffer(raw[: size * across * down], dtype=np.uint8).reshape(-1, size)
     colour = data[:, size - 8 :]
     ends = colour[:, :4].copy().view("<u2").astype(np.int64)
     rgb = colours_565(ends)

@@ -7,6 +7,10 @@ many claims is merged by many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +36,12 @@ def merged(claims: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFr
     return union_of(union_of(some, [*keys, "stretch"]).drop("stretch"), keys)
 
 
-def gaps(union: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+def gaps(union: DataFrame, sizes: DataFrame, keys: list[str], claims: DataFrame | None = None) -> DataFrame:
     """(keys, gap_id, start, end, kind, prev_end, next_start) of unclaimed bytes.
 
-    sizes: (keys, size). prev_end and next_start are the claims on either side.
+    sizes: (keys, size). next_start is where the next claim starts. prev_end is where the
+    union before the gap ends; with claims given, it is the end of the last one of those, by
+    start and end, that ends by the gap's start.
     """
     w = Window.partitionBy(*keys).orderBy("start")
     inner = union.withColumn("before", F.lag("end").over(w)).select(*keys, F.coalesce("before", F.lit(0)).alias("g_start"), F.col("start").alias("g_end"), F.col("before").alias("prev_end"), F.col("start").alias("next_start"))
@@ -43,8 +49,21 @@ def gaps(union: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     tail = sizes.join(last, keys, "left").select(*keys, F.coalesce("last", F.lit(0)).alias("g_start"), F.col("size").alias("g_end"), F.col("last").alias("prev_end"), F.lit(None).cast("bigint").alias("next_start"))
     rows = inner.unionByName(tail).where("g_end > g_start")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("g_start")) - 1
-    kind = F.when(F.col("next_start").isNull(), "tail").otherwise("gap")
-    return rows.select(*keys, number.alias("gap_id"), F.col("g_start").alias("start"), F.col("g_end").alias("end"), kind.alias("kind"), "prev_end", "next_start")
+    kind = F.when(F.col("next_start").isNull(), "tail_gap").otherwise("internal_gap")
+    found = rows.select(*keys, number.alias("gap_id"), F.col("g_start").alias("start"), F.col("g_end").alias("end"), kind.alias("kind"), "prev_end", "next_start")
+    return found if claims is None else as_of(found, claims, keys)
+
+
+def as_of(found: DataFrame, claims: DataFrame, keys: list[str]) -> DataFrame:
+    """found with prev_end by the claims themselves: one running maximum over claims and gaps
+    in the order of their places, instead of a join of all pairs."""
+    none = lambda t: F.lit(None).cast(t)
+    kept = [c for c in found.columns if c not in (*keys, "prev_end")]
+    gap = found.select(*keys, F.col("start").alias("place"), F.lit(1).alias("is_gap"), none("struct<s:bigint,e:bigint>").alias("claim"), F.struct(*kept).alias("gap"))
+    one = claims.where("end > start").select(*keys, F.col("end").cast("bigint").alias("place"), F.lit(0).alias("is_gap"), F.struct(F.col("start").cast("bigint").alias("s"), F.col("end").cast("bigint").alias("e")).alias("claim"), none(gap.schema["gap"].dataType).alias("gap"))
+    order = Window.partitionBy(*keys).orderBy("place", "is_gap").rowsBetween(Window.unboundedPreceding, 0)
+    both = one.union(gap).withColumn("last", F.max("claim").over(order)).where("is_gap = 1")
+    return both.select(*keys, "gap.*", F.col("last.e").alias("prev_end"))
 
 
 def pointed_at(found: DataFrame, pointers: DataFrame, keys: list[str], stretch: int = 4096) -> DataFrame:
@@ -72,7 +91,7 @@ def strides(size: Column, pointed: Column, nonzero: Column, more: tuple[int, ...
 def suppressed(found: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """found with the id of the first allow rule that fits, null if none does.
 
-    A rule names a game, resource, start and end; its other fields hold if null or equal.
+    A rule names a schema, resource, start and end; its other fields hold if null or equal.
     """
     on = ["game", "schema", "resref", "start", "end"]
     optional = ["size", "kind", "classification", "risk"]
@@ -81,8 +100,10 @@ def suppressed(found: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
     for c in ("resref", "start", "end"):
         fits &= found[c] == F.col(f"r_{c}")
     for c in ["game", *optional]:
-        own = found["end"] - found["start"] if c == "size" else found[c]
-        fits &= F.col(f"r_{c}").isNull() | (own == F.col(f"r_{c}"))
+        own, wanted = found["end"] - found["start"] if c == "size" else found[c], F.col(f"r_{c}")
+        if c != "size":  # in any letter case
+            own, wanted = F.lower(F.trim(own)), F.lower(F.trim(wanted))
+        fits &= F.col(f"r_{c}").isNull() | (own == wanted)
     hit = found.join(rules, fits).groupBy(*keys, "gap_id").agg(F.min_by("r_id", "r_rank").alias("rule_id"))
     return found.join(hit, [*keys, "gap_id"], "left")
 
@@ -99,6 +120,32 @@ def summarised(found: DataFrame, levels: list[str]) -> DataFrame:
     return out
 
 
+def measured(found: DataFrame, sizes: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
+    """The audit's measures for each level and in total, gaps that a rule names apart.
+
+    found: keys, start, end, kind, risk, pointer_hits, nonzero_bytes, rule_id; sizes: keys,
+    size and the levels.
+    """
+    size, live = F.col("end") - F.col("start"), F.col("rule_id").isNull()
+    rows = found.withColumns({"size_": size, "live_": live, "nonzero_": F.col("nonzero_bytes") > 0, "high_": F.lower("risk") == "high"})
+    whole = found.groupBy(*keys).agg(F.sum(size).alias("unclaimed"))
+    claimed = sizes.join(whole, keys, "left").select(*levels, "size", (F.col("size") - F.coalesce("unclaimed", F.lit(0))).alias("claimed"))
+    top = claimed.rollup(*levels).agg(F.count("*").alias("resources"), F.sum("size").cast("bigint").alias("filesize"), F.sum("claimed").cast("bigint").alias("claimed_bytes"))
+    number = lambda c: F.count_if(c)
+    of = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("bigint")
+    flag, gone = F.col("live_"), ~F.col("live_")
+    gaps_ = rows.join(sizes.select(*keys, *levels), keys).rollup(*levels).agg(
+        number(flag).alias("total_gaps"), number(flag & (F.lower("kind") == "internal_gap")).alias("internal_gaps"), number(flag & (F.lower("kind") == "tail_gap")).alias("tail_gaps"),
+        of(flag, F.col("size_")).alias("unknown_bytes"), number(flag & F.col("nonzero_")).alias("nonzero_gaps"), number(flag & (F.col("pointer_hits") > 0)).alias("pointer_referenced_gaps"),
+        number(flag & F.col("high_")).alias("high_risk_gaps"), F.coalesce(F.max(F.when(flag, F.col("size_"))), F.lit(0)).cast("bigint").alias("largest_gap_size"),
+        number(gone).alias("suppressed_gaps"), of(gone, F.col("size_")).alias("suppressed_unknown_bytes"), number(gone & F.col("nonzero_")).alias("suppressed_nonzero_gaps"), number(gone & F.col("high_")).alias("suppressed_high_risk_gaps"),
+    )
+    renamed = gaps_.withColumnsRenamed({c: f"g_{c}" for c in levels})
+    on = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in levels]
+    out = top.join(renamed, on, "left").drop(*(f"g_{c}" for c in levels))
+    return out.fillna(0, [c for c in renamed.columns if not c.startswith("g_")])
+
+
 def reported(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """The gaps of each resource that matter most: by risk, then size."""
     rank = F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).otherwise(2)
@@ -106,6 +153,24 @@ def reported(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def byte_profile(blobs: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """Size, zeros, FFs, distinct values, share of nonzero bytes and Shannon entropy of each
+    blob, counted in one pass over Arrow batches: no row per byte, and no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [None if x is None else np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) for x in batch.column("raw").to_pylist()]
+            weight = lambda n: float((n[n > 0] * np.log2(n[n > 0])).sum())
+            columns = [pa.array([None if n is None else f(n) for n in raw], t) for f, t in ((lambda n: int(n.sum()), pa.int64()), (lambda n: int(n[0]), pa.int64()), (lambda n: int(n[255]), pa.int64()), (lambda n: int((n > 0).sum()), pa.int64()), (weight, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", "size", "zeros", "ffs", "distinct_bytes", "weighted"])
+
+    rows = blobs.select(F.struct(*keys).alias("key"), F.col(content).alias("raw"))
+    kind = rows.schema["key"].dataType.simpleString()
+    got = rows.mapInArrow(run, f"key {kind}, size long, zeros long, ffs long, distinct_bytes long, weighted double").where("size > 0")
+    entropy = F.log2("size") - F.col("weighted") / F.col("size")
+    return got.select("key.*", "size", "zeros", "ffs", "distinct_bytes", F.round((F.col("size") - F.col("zeros")) / F.col("size"), 6).alias("nonzero_share"), F.round(entropy, 6).alias("entropy"))
+
+
 def byte_counts(blobs: DataFrame, keys: list[str], content: str) -> DataFrame:
     """(keys, byte, n): a row per byte value that occurs; sums are partial before the shuffle."""
     c = F.col(content)

@@ -26,6 +26,13 @@ def that_fit(base: Column, next_start: Column, stride: int) -> Column:
     return F.floor((next_start - base) / stride).cast("bigint")
 
 
+def feature_blocks(declared: Column, reach: Column, is_last: Column, remaining: Column, stride: int) -> Column:
+    """Blocks that several entries point into: what the header declares or the furthest entry
+    reaches; where no section follows, all that physically fit if those are more."""
+    needed, there = largest(declared, reach), F.floor(remaining / stride)
+    return F.when(is_last & (there > needed), there).otherwise(needed).cast("bigint")
+
+
 def ceil_product(terms: list[tuple[Column, float]]) -> Column:
     """The product of each value over its divisor, rounded up; null counts as zero."""
     out = F.lit(1).cast("bigint")

@@ -66,12 +66,54 @@ def cells(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     split = F.split(F.trim("raw"), r"\s+")
     all_lines = F.filter(lines(F.col(text)), lambda x: F.trim(x) != "")
     good = files.select(*keys, all_lines.alias("all")).where(F.upper(F.get("all", F.lit(0))).rlike(r"^\s*2DA\s+V1\.0"))
-    rows = good.select(*keys, F.get(F.split(F.trim(F.get("all", F.lit(1))), r"\s+"), F.lit(0)).alias("default"), F.split(F.trim(F.get("all", F.lit(2))), r"\s+").alias("columns"), F.posexplode(F.slice("all", 4, 1 << 20)).alias("row_idx", "raw"))
+    rows = good.select(*keys, F.get(F.split(F.trim(F.get("all", F.lit(1))), r"\s+"), F.lit(0)).alias("default"), F.split(F.trim(F.get("all", F.lit(2))), r"\s+").alias("columns"), F.posexplode(F.slice("all", F.lit(4), F.greatest(F.size("all") - 3, F.lit(0)))).alias("row_idx", "raw"))
     rows = rows.select(*keys, "default", "columns", "row_idx", split.alias("v"))
     rows = rows.select(*keys, "default", "row_idx", F.get("v", F.lit(0)).alias("row_label"), "v", F.posexplode("columns").alias("i", "column"))
     return rows.select(*keys, "row_idx", "row_label", "column", F.coalesce(F.get("v", F.col("i") + 1), "default").alias("cell"))
 
 
+def table_name(reference: Column) -> Column:
+    """The table that a reference names: without folders and extension, upper case."""
+    return F.upper(F.regexp_replace(F.regexp_extract(F.trim(reference), r"[^/\\\\]*$", 0), r"\.[^.]*$", ""))
+
+
+def cell_of(rows: DataFrame, key: str, table: DataFrame, column: str, out: str, by: str = "row_label") -> DataFrame:
+    """rows with out: the cell of a two-dimensional table (cells()) in the row that key names,
+    by label or, with by="row_idx", by number; the default in a row without the column, null
+    without the row. Of rows with one label the last holds."""
+    default = F.first("default", ignorenulls=True) if "default" in table.columns else F.lit(None).cast("string")
+    own = F.max_by(F.struct(F.col("cell").alias("cell")), F.when(F.col("column") == column, F.col("row_idx"))).alias("best")
+    match = table.groupBy(F.col(by).cast("string").alias("lookup_key")).agg(own, default.alias("lookup_default"))
+    match = match.select("lookup_key", F.coalesce("best.cell", "lookup_default").alias(out))
+    return rows.join(match, F.col(key).cast("string") == F.col("lookup_key"), "left").drop("lookup_key")
+
+
+def entries_shown(values: Column, labels: dict[int, str] | None = None, shown: dict[int, str] | None = None, empty: tuple[int, ...] = (), sparse: bool = False, prefix: str = "entry_") -> Column:
+    """An array of numbers for display, as text: names from shown, null for empty values; with
+    labels a map from the label of each place, empty ones left out if sparse."""
+
+    def one(v: Column) -> Column:
+        named = F.create_map(*(x for k, t in shown.items() for x in (F.lit(k).cast("bigint"), F.lit(t))))[v.cast("bigint")] if shown else F.lit(None).cast("string")
+        return F.when(v.isNotNull() & ~v.isin(*empty) if empty else v.isNotNull(), F.coalesce(named, v.cast("string")))
+
+    if labels is None:
+        return F.transform(values, one)
+    names = F.create_map(*(x for k, t in labels.items() for x in (F.lit(k), F.lit(t))))
+    pairs = F.transform(values, lambda v, i: F.struct(F.coalesce(names[i], F.concat(F.lit(prefix), i.cast("string"))).alias("label"), one(v).alias("shown")))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["shown"].isNotNull()) if sparse else pairs)
+
+
+def by_place(indices: Column, items: Column) -> Column:
+    """Each index as the item at that place, the index itself outside the items; both as text."""
+    return F.transform(indices, lambda i: F.coalesce(F.when(i >= 0, F.get(items, i.cast("int"))).cast("string"), i.cast("string")))
+
+
+def sequence_of(lookup: Column, start: Column, count: Column) -> Column:
+    """The entries of a lookup list from start on, those outside it left out."""
+    places = F.when(count > 0, F.sequence(start, start + count - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(F.filter(places, lambda i: (i >= 0) & (i < F.size(lookup))), lambda i: F.get(lookup, i.cast("int")))
+
+
 def resolved(rows: DataFrame, value: str, table: DataFrame, key: str, shown: str, out: str, offset: int = 0, skip: tuple[int, ...] = (), both: bool = False) -> DataFrame:
     """rows with out: what the table shows for value plus offset, or the value itself.
 

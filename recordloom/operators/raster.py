@@ -30,12 +30,21 @@ TEXTURE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("
 
 
 def inflated(raw: bytes) -> bytes:
-    """What a texture file holds: zlib data after its size, zlib data alone, or plain."""
-    for at in (4, 0):
-        try:
-            return zlib.decompress(raw[at:])
-        except zlib.error:
-            continue
+    """What a texture file holds: zlib data after its size, zlib data alone, or plain; packed
+    data that is zlib data again, with or without a size, is unpacked once more."""
+
+    def once(data: bytes) -> bytes | None:
+        for at in (4, 0):
+            try:
+                return zlib.decompress(data[at:])
+            except zlib.error:
+                continue
+        return None
+
+    first = once(raw)
+    if first is not None:
+        second = once(first)
+        return first if second is None else second
     return raw[4:] if raw[4:8] == MARK_3 or raw[4 + MARK_AT : 8 + MARK_AT] == MARK else raw
 
 
@@ -91,15 +100,18 @@ def textures(content: pd.Series) -> pd.DataFrame:
 
 
 def page_names(name: Column, page: Column) -> Column:
-    """What the page of a tileset may be called, in order: the name and two digits, its
-    first six letters and two digits, the same in hexadecimal from ten on, MOS and four."""
+    """What the page of a tileset may be called, in order: its short name (the first letter, the
+    third to sixth, and an N in seventh place) and two digits, its first six letters and two
+    digits, the same in hexadecimal from ten on, MOS and four digits. No name comes twice."""
+    name = F.upper(name)
+    brief = F.concat(F.substring(name, 1, 1), F.substring(name, 3, 4), F.when(F.substring(name, 7, 1) == "N", "N").otherwise(""))
     two, hexed = F.lpad(page.cast("string"), 2, "0"), F.lpad(F.hex(page), 2, "0")
     two = F.when(page < 100, two).otherwise(page.cast("string"))
-    short = F.substring(name, 1, 6)
-    plain = F.array(F.concat(name, two), F.concat(short, two))
-    more = F.when(page >= 10, F.array(F.concat(name, hexed), F.concat(short, hexed))).otherwise(F.array().cast("array<string>"))
+    six = F.when(F.length(name) >= 6, F.substring(name, 1, 6))
+    plain = F.array(F.concat(brief, two), F.concat(six, two))
+    more = F.when(page >= 10, F.array(F.concat(brief, hexed), F.concat(six, hexed))).otherwise(F.array().cast("array<string>"))
     number = F.when(page < 10000, F.lpad(page.cast("string"), 4, "0")).otherwise(page.cast("string"))
-    return F.transform(F.concat(plain, more, F.array(F.concat(F.lit("MOS"), number))), F.upper)
+    return F.array_distinct(F.array_compact(F.concat(plain, more, F.array(F.concat(F.lit("MOS"), number)))))
 
 
 def paged(wanted: DataFrame, pages: DataFrame, name: str = "resref", page: str = "page") -> DataFrame:
@@ -193,11 +205,18 @@ def tile_validity(cells: DataFrame, keys: list[str], tile: str, count: str) -> D
     return cells.groupBy(*keys).agg(F.count_if((t >= 0) & (t < n)).alias("valid"), F.count_if(t >= n).alias("outside"), F.count_if(t == -1).alias("missing"))
 
 
-def grid_width(tiles: Column, wanted: Column | None = None) -> Column:
-    """Tiles in a row of a sheet: what is wanted if that is 1 or more and not beyond the
-    number of tiles, else the square root rounded up."""
-    square = F.greatest(F.ceil(F.sqrt(tiles)), F.lit(1)).cast("int")
-    return square if wanted is None else F.when((wanted >= 1) & (wanted <= tiles), wanted.cast("int")).otherwise(square)
+#: Tiles in a row of a sheet by preference, and the longest side of a sheet in pixels.
+COLUMNS, LONGEST = 10, 8192
+
+
+def grid_width(tiles: Column, edge: Column | int = TILE, longest: int = LONGEST) -> Column:
+    """Tiles in a row of a sheet: COLUMNS, unless a side would be longer than is safe; then as
+    few as keep the height safe, up to what the width allows. Without tiles COLUMNS."""
+    edge = F.lit(edge) if isinstance(edge, int) else edge
+    most = F.greatest(F.floor(F.lit(longest) / edge), F.lit(1))
+    fits = (F.lit(COLUMNS) <= most) & (F.ceil(tiles / F.lit(float(COLUMNS))) <= most)
+    narrow = F.least(F.greatest(F.ceil(tiles / most), F.lit(1)), most)
+    return F.when(fits | (tiles <= 0) | (edge <= 0), COLUMNS).otherwise(narrow).cast("int")
 
 
 def stitched(tiles: DataFrame, keys: list[str], edge: int = TILE) -> DataFrame:

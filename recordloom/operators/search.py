@@ -64,6 +64,14 @@ def compared(clause: Clause, values: Column, kind: T.DataType, strict: bool) ->
     wanted = clause.value.lower()
     text = lambda v: F.coalesce(F.lower(v.cast("string")), F.lit("none"))
     numeric = isinstance(kind, (T.NumericType, T.BooleanType)) or strict
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        # a fraction is text as Python writes it; only that text of a number equals it
+        number = float(wanted) if re.fullmatch(r"-?[0-9.]+(e[+-][0-9]+)?", wanted) and wanted.count(".") < 2 and wanted.strip("-.") else None
+        exact = number is not None and repr(number) == wanted
+        plain = text
+        text = lambda v: F.when(v == number, F.lit(wanted)).otherwise(F.lit("")) if exact else F.when(v.isNull() | F.isnan(v), plain(v)).otherwise(F.lit(""))
+        if clause.op == "~":
+            text = plain
     if clause.op == "=":
         return F.exists(values, lambda v: text(v) == wanted)
     if clause.op == "!=":

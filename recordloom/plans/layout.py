@@ -28,13 +28,13 @@ class Field:
 
 @dataclass(frozen=True)
 class Section:
-    """A repeating group; count is a number, a field's name, or a rule of counts.py."""
+    """A repeating group; count is a number, a field's name, or rest; one entry without it."""
 
     name: str
     fields: tuple[Field, ...]
     offset_field: str | None = None
     offset_from: tuple[str, int, str] | None = None
-    count: Any = 1
+    count: Any = None
     promote: bool = False
 
     @property
@@ -59,7 +59,7 @@ def width(kind: str, declared: Mapping[str, Any]) -> int:
         return int(declared["size"])
     if kind in ENTRY_WIDTHS and "count" in declared:
         return int(declared["count"]) * int(declared.get("entry_size", ENTRY_WIDTHS[kind]))
-    if kind == "computed":
+    if kind in ("computed", "pointer_string") or "size_ref" in declared:
         return 0
     if kind in WIDTHS:
         return WIDTHS[kind]
@@ -83,7 +83,7 @@ def section(name: str, declared: Mapping[str, Any]) -> Section:
     return Section(
         name, tuple(fields), declared.get("offset_field"),
         (origin["section"], int(origin.get("index", 0)), origin["field"]) if origin else None,
-        declared.get("count", 1), bool(declared.get("promote", False)),
+        declared.get("count"), bool(declared.get("promote", False)),
     )
 
 

@@ -27,7 +27,7 @@ MERGED_SQL = """
 GAPS_SQL = MERGED_SQL + f""",
     i AS (SELECT user_id, coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY s), 0) AS gs, s AS ge, lag(e) OVER (PARTITION BY user_id ORDER BY s) AS prev_end, s AS next_start FROM u
         UNION ALL SELECT user_id, max(e), {SIZE}, max(e), NULL FROM u GROUP BY user_id),
-    gaps AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY gs) - 1 AS gap_id, gs, ge, CASE WHEN next_start IS NULL THEN 'tail' ELSE 'gap' END AS kind, prev_end, next_start FROM i WHERE ge > gs)"""
+    gaps AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY gs) - 1 AS gap_id, gs, ge, CASE WHEN next_start IS NULL THEN 'tail_gap' ELSE 'internal_gap' END AS kind, prev_end, next_start FROM i WHERE ge > gs)"""
 
 
 @register(QUERIES, MERGED_SQL + ' SELECT user_id, s AS "start", e AS "end" FROM u')
@@ -47,10 +47,13 @@ def claims_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_gaps(spark, sf_dir).select("user_id", "gap_id", "start", "end", "kind")
 
 
-@register(QUERIES, GAPS_SQL + " SELECT user_id, CAST(gap_id AS INT) AS gap_id, prev_end, next_start FROM gaps")
+@register(QUERIES, GAPS_SQL + """ SELECT g.user_id, CAST(gap_id AS INT) AS gap_id, (SELECT arg_max(e, s * 1000000 + e) FROM p WHERE p.user_id = g.user_id AND p.e <= g.gs) AS prev_end, next_start FROM gaps g""")
 def gap_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claims on either side of each gap."""
-    return found_gaps(spark, sf_dir).select("user_id", "gap_id", "prev_end", "next_start")
+    """The claims on either side of each gap: the last, by start, that ends before it, and the next."""
+    every = claims(spark, sf_dir)
+    union = audit.merged(every, ["user_id"], stretch=4096)
+    found = audit.gaps(union, union.select("user_id").distinct().withColumn("size", F.lit(SIZE).cast("bigint")), ["user_id"], every)
+    return found.select("user_id", "gap_id", "prev_end", "next_start")
 
 
 def with_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +96,11 @@ def allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow rules made from every fifth gap; half of them hold for tails alone."""
     return classes(spark, sf_dir).where("gap_id % 5 = 0").select(
         F.lit(None).cast("string").alias("game"), F.lit("EVT").alias("schema"), F.col("user_id").cast("string").alias("resref"), "start", "end", F.lit(None).cast("bigint").alias("size"),
-        F.when(F.col("gap_id") % 2 == 0, "tail").alias("kind"), F.lit(None).cast("string").alias("classification"), F.lit(None).cast("string").alias("risk"), F.concat_ws("-", "user_id", "gap_id").alias("id"), F.col("gap_id").alias("rank"),
+        F.when(F.col("gap_id") % 2 == 0, "Tail_GAP").alias("kind"), F.lit(None).cast("string").alias("classification"), F.lit(None).cast("string").alias("risk"), F.concat_ws("-", "user_id", "gap_id").alias("id"), F.col("gap_id").alias("rank"),
     )
 
 
-@register(QUERIES, HITS_SQL + """ SELECT user_id, CAST(gap_id AS INT) AS gap_id, CASE WHEN gap_id % 5 = 0 AND (gap_id % 2 <> 0 OR kind = 'tail') THEN CAST(user_id AS VARCHAR) || '-' || CAST(gap_id AS VARCHAR) END AS rule_id FROM risky""")
+@register(QUERIES, HITS_SQL + """ SELECT user_id, CAST(gap_id AS INT) AS gap_id, CASE WHEN gap_id % 5 = 0 AND (gap_id % 2 <> 0 OR kind = 'tail_gap') THEN CAST(user_id AS VARCHAR) || '-' || CAST(gap_id AS VARCHAR) END AS rule_id FROM risky""")
 def allowlist_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps that an allow rule names, with the rule."""
     found = classes(spark, sf_dir).withColumns({"game": F.lit("G"), "schema": F.lit("EVT"), "resref": F.col("user_id").cast("string")})
@@ -108,3 +111,19 @@ def allowlist_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fidelity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested and failed by two levels, with totals."""
     return table(spark, sf_dir, "labels").rollup("quality", "toxic").agg(F.count("*").alias("tested"), F.sum(1 - F.col("quality")).alias("failed"))
+
+
+@register(QUERIES, HITS_SQL + f""", named AS (SELECT *, (gs % 3) * (ge - gs) AS nz, gap_id % 5 = 0 AND (gap_id % 2 <> 0 OR kind = 'tail_gap') AS gone, user_id % 3 AS team FROM risky),
+    whole AS (SELECT user_id % 3 AS team, user_id, {SIZE} AS size, coalesce((SELECT sum(ge - gs) FROM risky r WHERE r.user_id = u.user_id), 0) AS free FROM (SELECT DISTINCT user_id FROM u) u),
+    top AS (SELECT team, count(*) AS resources, CAST(sum(size) AS BIGINT) AS filesize, CAST(sum(size - free) AS BIGINT) AS claimed_bytes FROM whole GROUP BY ROLLUP (team)),
+    low AS (SELECT team, count(*) FILTER (NOT gone) AS total_gaps, count(*) FILTER (NOT gone AND kind = 'internal_gap') AS internal_gaps, count(*) FILTER (NOT gone AND kind = 'tail_gap') AS tail_gaps,
+        CAST(coalesce(sum(ge - gs) FILTER (NOT gone), 0) AS BIGINT) AS unknown_bytes, count(*) FILTER (NOT gone AND nz > 0) AS nonzero_gaps, count(*) FILTER (NOT gone AND pointer_hits > 0) AS pointer_referenced_gaps,
+        count(*) FILTER (NOT gone AND risk = 'high') AS high_risk_gaps, CAST(coalesce(max(ge - gs) FILTER (NOT gone), 0) AS BIGINT) AS largest_gap_size, count(*) FILTER (gone) AS suppressed_gaps,
+        CAST(coalesce(sum(ge - gs) FILTER (gone), 0) AS BIGINT) AS suppressed_unknown_bytes, count(*) FILTER (gone AND nz > 0) AS suppressed_nonzero_gaps, count(*) FILTER (gone AND risk = 'high') AS suppressed_high_risk_gaps FROM named GROUP BY ROLLUP (team))
+    SELECT top.*, low.* EXCLUDE (team) FROM top JOIN low ON top.team IS NOT DISTINCT FROM low.team""")
+def gap_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of the audit by team and in total, allowed gaps counted apart."""
+    found = classes(spark, sf_dir).withColumns({"game": F.lit("G"), "schema": F.lit("EVT"), "resref": F.col("user_id").cast("string"), "nonzero_bytes": (F.col("start") % 3) * (F.col("end") - F.col("start"))})
+    named = audit.suppressed(found, allowed(spark, sf_dir), ["user_id"])
+    sizes = claims(spark, sf_dir).where("end > start").select("user_id").distinct().select("user_id", F.lit(SIZE).cast("bigint").alias("size"), (F.col("user_id") % 3).alias("team"))
+    return audit.measured(named, sizes, ["user_id"], ["team"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import binary as B
 from recordloom.functions.expression import compiled
 from recordloom.operators import counts, decode, encode
-from recordloom.operators.audit import byte_counts, byte_statistics
+from recordloom.operators.audit import byte_profile
 from recordloom.operators.catalog import located, type_name
 from recordloom.plans.samples import ORDER
 from recordloom.queries.tables import register, sql_byte, table
@@ -166,8 +166,7 @@ def max_extent_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shannon entropy of each text's bytes."""
     blobs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-    found = byte_statistics(byte_counts(blobs, ["doc_id"], "raw"), ["doc_id"])
-    return found.select("doc_id", "size", "entropy")
+    return byte_profile(blobs, ["doc_id"], "raw").select("doc_id", "size", "entropy")
 
 
 @register(QUERIES, """
@@ -176,7 +175,7 @@ def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many bytes, zeros, FFs and distinct values each text has."""
     blobs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-    return byte_statistics(byte_counts(blobs, ["doc_id"], "raw"), ["doc_id"]).select("doc_id", "size", "zeros", "ffs", "distinct_bytes")
+    return byte_profile(blobs, ["doc_id"], "raw").select("doc_id", "size", "zeros", "ffs", "distinct_bytes")
 
 
 @register(QUERIES, """
