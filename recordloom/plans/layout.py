@@ -36,6 +36,8 @@ class Section:
     offset_from: tuple[str, int, str] | None = None
     count: Any = None
     promote: bool = False
+    #: (section, field, stride field): pointers into this section that entries of another hold.
+    offset_update: tuple[str, str, str | None] | None = None
 
     @property
     def stride(self) -> int:
@@ -79,11 +81,12 @@ def section(name: str, declared: Mapping[str, Any]) -> Section:
             raise ValueError(f"{name}.{entry['name']}: declared at {entry['offset']}, follows at {at}")
         fields.append(Field(entry["name"], kind, at, size, own))
         at += size
-    origin = declared.get("offset_from")
+    origin, update = declared.get("offset_from"), declared.get("offset_update")
     return Section(
         name, tuple(fields), declared.get("offset_field"),
         (origin["section"], int(origin.get("index", 0)), origin["field"]) if origin else None,
         declared.get("count"), bool(declared.get("promote", False)),
+        (update["section"], update["field"], update.get("stride_expr", {}).get("field")) if update else None,
     )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.queries import auditing, decoding, formats, relating, searching
+from recordloom.queries import auditing, decoding, formats, relating, searching, writing
 
-MODULES = (decoding, formats, searching, relating, auditing)
+MODULES = (decoding, formats, searching, relating, auditing, writing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
