@@ -112,3 +112,46 @@ def blocks_rgba(raw: bytes, width: int, height: int, alpha: bool) -> bytes:
 @F.pandas_udf(T.BinaryType())
 def texture_rgba(blocks: pd.Series, width: pd.Series, height: pd.Series, alpha: pd.Series) -> pd.Series:
     return pd.Series([blocks_rgba(raw or b"", int(w), int(h), bool(a)) for raw, w, h, a in zip(blocks, width, height, alpha)])
+
+
+#: Channel masks of pixels that are stored as RGBA and as BGRA.
+RGBA_MASKS = (0x000000FF, 0x0000FF00, 0x00FF0000, 0xFF000000)
+BGRA_MASKS = (0x00FF0000, 0x0000FF00, 0x000000FF, 0xFF000000)
+#: Fixed places of a surface file: height, width, name of the block format, and the blocks.
+DDS_HEIGHT, DDS_WIDTH, DDS_FORMAT, DDS_BLOCKS = 12, 16, 84, 128
+
+
+def pixels_rgba(raw: bytes, width: int, height: int, bits: int, masks: tuple[int, ...] = RGBA_MASKS) -> bytes | None:
+    """Pixels of 24 bits as they are, or of 32 bits by the masks of red, green, blue and alpha
+    (alpha zero: opaque); null for other widths and short data."""
+    step = bits // 8
+    if bits not in (24, 32) or len(raw) < width * height * step:
+        return None
+    out = np.full((width * height, 4), 255, dtype=np.uint8)
+    if bits == 24:
+        out[:, :3] = np.frombuffer(raw, dtype=np.uint8, count=3 * len(out)).reshape(-1, 3)
+        return out.tobytes()
+    value = np.frombuffer(raw, dtype="<u4", count=len(out))
+    for k, m in enumerate(masks):
+        if m or k < 3:
+            # shifted to its lowest bit; masks of more than eight bits keep their low eight
+            out[:, k] = ((value & np.uint32(m)) >> np.uint32((m & -m).bit_length() - 1 if m else 0)).astype(np.uint8)
+    return out.tobytes()
+
+
+@F.pandas_udf(T.StructType().add("width", "integer").add("height", "integer").add("rgba", "binary").add("error", "string"))
+def surface_rgba(files: pd.Series) -> pd.DataFrame:
+    """Surface files with blocks in DXT1 or DXT5: their sides and pixels, or what is wrong."""
+
+    def one(raw: bytes | None) -> tuple:
+        if raw is None:
+            return None, None, None, None
+        if len(raw) < DDS_BLOCKS:
+            return None, None, None, "shorter than its header"
+        width, height = (int.from_bytes(raw[at : at + 4], "little") for at in (DDS_WIDTH, DDS_HEIGHT))
+        kind = raw[DDS_FORMAT : DDS_FORMAT + 4]
+        if kind not in (b"DXT1", b"DXT5"):
+            return width, height, None, f"unknown format {kind.decode('latin-1')}"
+        return width, height, blocks_rgba(raw[DDS_BLOCKS:], width, height, kind == b"DXT5"), None
+
+    return pd.DataFrame([one(x) for x in files], columns=["width", "height", "rgba", "error"]).astype({"width": "Int32", "height": "Int32"})

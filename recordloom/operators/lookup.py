@@ -163,3 +163,26 @@ def labelled_slots(slots: DataFrame, keys: list[str], slot: str, shown: Column,
     pair = F.struct(F.col(slot).alias("slot"), F.col("label_").alias("label"), F.col("shown_").alias("shown"))
     held = F.transform(F.array_sort(F.collect_list(pair)), lambda e: F.struct(e["label"], e["shown"]))
     return rows.groupBy(*keys).agg(F.map_from_entries(held).alias("slots"))
+
+
+#: Names, and ends of names, of fields that hold numbers of texts.
+TEXT_NAMES = ("name", "description", "strref", "area_name", "long_name")
+TEXT_ENDS = (
+    "_name", "_description", "identified_desc", "unidentified_desc", "_text", "_tooltip", "_strref", "_msg", "_message",
+    "identified_name", "unidentified_name", "identified_description", "unidentified_description", "journal_text", "dialog_text", "encounter_text",
+)
+
+
+def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with <field>_text beside every whole-number column that by its name holds the number
+    of a text; null for numbers up to zero, numbers without a text, and empty texts.
+
+    texts: (strref, text), one row a number. Fields are found in the schema, before anything runs.
+    """
+    whole = ("tinyint", "smallint", "int", "bigint")
+    out = rows
+    for name, kind in rows.dtypes:
+        if kind in whole and (name.lower() in TEXT_NAMES or name.lower().endswith(TEXT_ENDS)):
+            own = texts.where("strref > 0 and text <> ''").select(F.col("strref").alias("strref_"), F.col("text").alias(f"{name}_text"))
+            out = out.join(own, F.col(name) == F.col("strref_"), "left").drop("strref_")
+    return out

@@ -67,7 +67,7 @@ def preserved(resources: DataFrame, decoded: Mapping[str, DataFrame], layout: La
 
     A section that starts before the last one ended is written over it. What starts behind
     the original's end is preceded by zeros. Bytes before an empty section are lost: what is
-    not read by an entry comes back only before one, or behind all that is read.
+    not read by an entry comes back only before one, or behind all that is read. Null for null content.
     """
     rows = with_bodies(resources, decoded, layout, keys)
     starts = {s.name: decode.start_of(layout, s, F.col("values"), F.col(content)) for s in layout.sections[1:]}
@@ -84,7 +84,7 @@ def preserved(resources: DataFrame, decoded: Mapping[str, DataFrame], layout: La
     rows = rows.withColumn("done_", F.aggregate(found, state(head(layout, {}), F.lit(layout.header.stride)), step)) if parts else rows.withColumn("done_", state(head(layout, {}), F.lit(layout.header.stride)))
     rest = decode.trailing(F.col(content), decode.end_of(layout, F.col("values"), F.col(content)))
     saved = F.when(rest.isNull(), F.col("done_")["raw"]).otherwise(put(F.col("done_")["raw"], F.col("done_")["at"], rest))
-    return rows.withColumn("saved", saved).drop("done_", *(f"{c}_{s.name}" for s in layout.sections[1:] for c in ("n", "body")))
+    return rows.withColumn("saved", F.when(F.col(content).isNotNull(), saved)).drop("done_", *(f"{c}_{s.name}" for s in layout.sections[1:] for c in ("n", "body")))
 
 
 def place_of(section: Section, field: str) -> tuple[int, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.operators import counts, decode, dump, encode, rewrite, routing
+from recordloom.operators import counts, decode, dump, encode, lookup, rewrite, routing
 from recordloom.plans.layout import Registry, layout
 from recordloom.plans.samples import ORDER
 from recordloom.queries.decoding import packed_orders
@@ -135,3 +135,12 @@ def count_tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.sum(F.col("l_linenumber") % 3).alias("total"))
     needed = counts.tilemap_extent(F.col("rows"), F.col("rows"), F.lit(100), 2)
     return held.select("l_orderkey", counts.tile_lookup(F.col("total"), F.col("l_orderkey") % 40, needed).alias("n"))
+
+
+@register(QUERIES, """
+    SELECT s_suppkey, s_nationkey AS identified_name, s_suppkey % 30 AS strref, a.n_name AS identified_name_text, b.n_name AS strref_text
+    FROM supplier LEFT JOIN nation a ON a.n_nationkey = s_nationkey AND s_nationkey > 0 LEFT JOIN nation b ON b.n_nationkey = s_suppkey % 30 AND s_suppkey % 30 > 0""")
+def expand_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts beside the fields whose names say that they hold the number of one."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("identified_name"), (F.col("s_suppkey") % 30).alias("strref"))
+    return lookup.with_texts(rows, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("strref"), F.col("n_name").alias("text")))

@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from recordloom.functions import raster as pixels
 from recordloom.operators import raster
 
 
@@ -116,3 +117,21 @@ def test_scaled_down():
     assert raster.scaled_down(p.tobytes(), 8, 4, 8) == (8, 4, p.tobytes())
     w, h, out = raster.scaled_down(p.tobytes(), 8, 4, 4)
     assert (w, h) == (4, 2) and (np.frombuffer(out, dtype=np.uint8).reshape(2, 4, 4) == p[::2, ::2]).all()
+
+
+def test_pixels():
+    assert pixels.pixels_rgba(bytes([1, 2, 3, 4]), 1, 1, 32) == bytes([1, 2, 3, 4])
+    assert pixels.pixels_rgba(bytes([1, 2, 3, 4]), 1, 1, 32, pixels.BGRA_MASKS) == bytes([3, 2, 1, 4])
+    assert pixels.pixels_rgba(bytes([1, 2, 3, 4]), 1, 1, 32, (0xFF000000, 0xFF00, 0xFF, 0)) == bytes([4, 2, 1, 255])
+    assert pixels.pixels_rgba(bytes([1, 2, 3]), 1, 1, 24) == bytes([1, 2, 3, 255])
+    assert pixels.pixels_rgba(b"abc", 1, 1, 32) is None and pixels.pixels_rgba(b"ab", 1, 1, 16) is None
+
+
+def test_surfaces(spark):
+    head = lambda kind: b"DDS " + bytes(8) + struct.pack("<II", 4, 4) + bytes(64) + kind + bytes(40)
+    red = struct.pack("<HHI", 0xF800, 0, 0)
+    rows = [(0, head(b"DXT1") + red), (1, head(b"DXT5") + bytes([255, 0, 0, 0, 0, 0, 0, 0]) + red), (2, head(b"DX10") + red), (3, b"DDS "), (4, None)]
+    df = spark.createDataFrame(rows, "k int, raw binary").select("k", pixels.surface_rgba("raw").alias("s")).select("k", "s.*")
+    got = {r.k: (r.width, r.height, r.rgba and bytes(r.rgba), r.error) for r in df.collect()}
+    assert got[0] == got[1] == (4, 4, bytes([255, 0, 0, 255]) * 16, None)
+    assert got[2] == (4, 4, None, "unknown format DX10") and got[3] == (None, None, None, "shorter than its header") and got[4] == (None,) * 4
