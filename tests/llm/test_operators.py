@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -797,3 +798,33 @@ def test_similar_classes_equal_brute_force(spark, monkeypatch, block):
     assert 0 < sum(label[i] == i for i in grams) < len(grams)
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in grams if label[i] == i]
+
+
+CHECK_TABLES = "/root/testdata/check_s"
+
+
+@pytest.mark.skipif(not os.path.isdir(CHECK_TABLES), reason="the check tables are not there")
+def test_vectors_query_equals_all_pairs(spark):
+    """The registered query on a whole table with links, against every pair."""
+    table = pq.read_table(f"{CHECK_TABLES}/embeddings.parquet").to_pydict()
+    ids, links, tree = table["vec_id"], Counter(), {v: v for v in table["vec_id"]}
+
+    def root(v):
+        while tree[v] != v:
+            tree[v] = v = tree[tree[v]]
+        return v
+
+    for label in {x for x in table["label"] if x is not None}:
+        own = [k for k, x in enumerate(table["label"]) if x == label and table["embedding"][k] is not None]
+        own = [k for k in own if None not in table["embedding"][k] and np.isfinite(table["embedding"][k]).all() and np.any(table["embedding"][k])]
+        x = embeddings.unit(np.array([table["embedding"][k] for k in own], dtype=np.float64))
+        for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1))):
+            a, b = ids[own[a]], ids[own[b]]
+            links.update((a, b))
+            a, b = sorted((root(a), root(b)))
+            tree[b] = a
+    got = {r.vec_id: (r.n_links, r.component_id) for r in Q["op7_sign_hashing"](spark, CHECK_TABLES).collect()}
+    missed = sum(links.values()) - sum(n for n, _ in got.values())
+    assert len(got) == len(ids) and all(n <= links[v] for v, (n, _) in got.items())
+    assert 0 <= missed <= 0.001 * sum(links.values())
+    assert missed or all(c == root(v) for v, (_, c) in got.items())
