@@ -88,6 +88,29 @@ def strides(size: Column, pointed: Column, nonzero: Column, more: tuple[int, ...
     return F.filter(pairs, lambda x: x.isNotNull())
 
 
+#: Names and widths of entries that a gap may consist of, in general and in some layouts.
+CANDIDATES = (("word_scalar_array", 2), ("dword_array", 4), ("qword_array", 8))
+CANDIDATES_OF = {"WED": (("wed_tilemap_entry", 10), ("wed_polygon_entry", 18), ("wed_vertex_entry", 4))}
+LEVELS = ("summary", "nonzero", "full")
+
+
+def detailed(found: DataFrame, nonzero: Column, level: str = "nonzero", most: int = 10, layout: str | None = None) -> DataFrame:
+    """found (with start, end, pointer_hits) with candidates: what a gap's entries may be, as
+    (type, entry_size, entry_count, confidence), the first most of them.
+
+    They are empty at the level summary, and at nonzero for gaps of zeros without pointers.
+    """
+    if level not in LEVELS:
+        raise ValueError(f"no detail level {level!r}: {', '.join(LEVELS)}")
+    size = F.col("end") - F.col("start")
+    sure = F.when(nonzero == 0, "low").when(F.col("pointer_hits") > 0, "high").otherwise("medium")
+    kinds = (*CANDIDATES, *CANDIDATES_OF.get(layout, ()))
+    one = lambda name, n: F.struct(F.lit(name).alias("type"), F.lit(n).alias("entry_size"), F.floor(size / n).alias("entry_count"), sure.alias("confidence"))
+    fits = F.slice(F.array_compact(F.array(*(F.when((size > 0) & (size % n == 0), one(name, n)) for name, n in kinds))), 1, max(1, most))
+    wanted = {"summary": F.lit(False), "full": F.lit(True), "nonzero": (nonzero > 0) | (F.col("pointer_hits") > 0)}[level]
+    return found.withColumn("candidates", F.when(wanted, fits).otherwise(F.slice(fits, 1, 0)))
+
+
 def suppressed(found: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """found with the id of the first allow rule that fits, null if none does.
 

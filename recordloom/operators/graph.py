@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.plans.layout import Layout
+
 
 def edges(rows: DataFrame, source: str, targets: list[str]) -> DataFrame:
     """(src, field, dst): one row per reference held in a column or array of references."""
@@ -22,6 +26,22 @@ def edges(rows: DataFrame, source: str, targets: list[str]) -> DataFrame:
     return out.where("dst is not null and dst <> ''").distinct()
 
 
+def layout_edges(layout: Layout, resources: DataFrame, decoded: Mapping[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, section, field, dst): every reference that a layout says its fields hold, once;
+    resources has the column values, decoded the entries of sections that are to be read."""
+    parts = []
+    for s in layout.sections:
+        rows = resources.select(*keys, "values.*") if s is layout.header else decoded.get(s.name)
+        for f in s.fields if rows is not None else ():
+            if f.kind in ("resref", "resref_array"):
+                names = F.array(F.col(f.name)) if f.kind == "resref" else F.col(f.name)
+                dst = F.explode(F.transform(names, lambda n: F.upper(F.trim(F.split_part(n, F.lit("\0"), F.lit(1))))))
+                parts.append(rows.select(*keys, F.lit(s.name).alias("section"), F.lit(f.name).alias("field"), dst.alias("dst")))
+    if not parts:
+        raise ValueError(f"{layout.name} has no references in these sections")
+    return reduce(DataFrame.union, parts).where("dst <> ''").distinct()
+
+
 def used_by(links: DataFrame) -> DataFrame:
     """(dst, n, users): who refers to each resource."""
     return links.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("src")).alias("users"))

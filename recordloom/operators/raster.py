@@ -205,6 +205,11 @@ def tile_validity(cells: DataFrame, keys: list[str], tile: str, count: str) -> D
     return cells.groupBy(*keys).agg(F.count_if((t >= 0) & (t < n)).alias("valid"), F.count_if(t >= n).alias("outside"), F.count_if(t == -1).alias("missing"))
 
 
+def visible(frames: Column) -> Column:
+    """The frames (width, height, ...) of an array that are larger than one pixel."""
+    return F.filter(frames, lambda f: (f["width"] > 1) | (f["height"] > 1))
+
+
 #: Tiles in a row of a sheet by preference, and the longest side of a sheet in pixels.
 COLUMNS, LONGEST = 10, 8192
 

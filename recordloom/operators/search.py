@@ -136,6 +136,19 @@ def ambiguous(index: DataFrame) -> DataFrame:
     return index.groupBy("resref").agg(F.array_sort(F.collect_set("restype")).alias("types")).where(F.size("types") > 1)
 
 
+def opened(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """wanted (request: NAME or NAME.TYPE, any letter case) with status and types: found when
+    one type fits, ambiguous when several do, missing when none does."""
+    name, kind = F.upper(F.split_part("request", F.lit("."), F.lit(1))), F.upper(F.split_part("request", F.lit("."), F.lit(2)))
+    asked = wanted.select("request", name.alias("name_"), kind.alias("kind_")).distinct()
+    known = index.select(F.upper("resref").alias("name_"), F.upper("restype").alias("restype")).distinct()
+    both = asked.join(known, "name_", "left").where((F.col("kind_") == "") | F.col("restype").isNull() | (F.col("restype") == F.col("kind_")))
+    types = both.groupBy("request").agg(F.array_sort(F.collect_set("restype")).alias("types"))
+    n = F.coalesce(F.size("types"), F.lit(0))
+    status = F.when(n == 0, "missing").when(n == 1, "found").otherwise("ambiguous")
+    return asked.select("request").join(types, "request", "left").select("request", status.alias("status"), F.coalesce("types", F.array().cast("array<string>")).alias("types"))
+
+
 def written(index: DataFrame, path: str, fingerprint: str) -> None:
     """Saves an index by game and type, under the fingerprint of what it was made from."""
     index.withColumn("fingerprint", F.lit(fingerprint)).write.mode("overwrite").partitionBy("fingerprint", "game", "restype").parquet(path)

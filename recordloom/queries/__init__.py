@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.queries import auditing, decoding, formats, relating, searching, writing
+from recordloom.queries import auditing, decoding, formats, relating, searching, viewing, writing
 
-MODULES = (decoding, formats, searching, relating, auditing, writing)
+MODULES = (decoding, formats, searching, relating, auditing, writing, viewing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
