@@ -51,6 +51,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark sends to Python at a time, and Spark's own default for it.
+ARROW_ROWS, DEFAULT_ROWS = 2000, "10000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Sends rows to Python in short batches, unless the session has a setting of its own: a
+    batch of long texts stands in memory on both sides at once, in every task of an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches in short parts, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import discard, slices, written
+from recordloom.llm.common import discard, short_batches, slices, written
 from recordloom.llm.grams import code_points, hashed
 
 #: Bounds, in expectation, of what the classifiers are fitted on.
@@ -184,6 +184,7 @@ def luck(salt: str) -> Column:
 
 def featured(docs: DataFrame) -> DataFrame:
     """(doc_id, c, m) of every row of docs: both views' features, a byte each, kept as Parquet."""
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 200):
@@ -217,7 +218,7 @@ def scales(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = 0, None
-        for part in slices(batches, 2000):
+        for part in slices(batches, 250):
             both = np.concatenate(unpacked(part), axis=1).astype(np.float64)
             more = np.stack([both.sum(axis=0), (both * both).sum(axis=0)])
             n, sums = n + part.num_rows, more if sums is None else sums + more
@@ -240,7 +241,7 @@ def surely(rows: DataFrame, views: list[View]) -> DataFrame:
         own = [View.__new__(View) for _ in shared.value]
         for view, state in zip(own, shared.value):
             vars(view).update(state)
-        for part in slices(batches, 2000):
+        for part in slices(batches, 250):
             told = [view.probability(x) for view, x in zip(own, unpacked(part))]
             sure = [pa.array(p > 0.5, mask=(p < SURE) & (p > 1 - SURE)) for p in told]
             yield pa.RecordBatch.from_arrays([*part.columns, *sure], [*part.schema.names, "sure_c", "sure_m"])

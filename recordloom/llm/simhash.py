@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import shingles
-from recordloom.llm.common import crossed, cut, dealt, discard, grouped, shuffle_partitions, slices, written
+from recordloom.llm.common import crossed, cut, dealt, discard, grouped, short_batches, shuffle_partitions, slices, written
 from recordloom.llm.components import components
 
 BITS = 64
@@ -366,6 +366,7 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, mo
     to its group, where links are decided exactly. No pair is ever a row: buckets and groups
     give stars (grouped_links()).
     """
+    short_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = text.mapInArrow(lambda b: shingles.signatures(b, ngram, shingles.TABLES), "doc_id long, key binary, n int, fp long, drawn binary, samples array<long>")
     first = F.min_by(F.struct("n", "fp", "drawn", "samples"), "doc_id").alias("s")
