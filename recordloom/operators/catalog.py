@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,10 +35,17 @@ def located(locator: Column) -> dict[str, Column]:
     return {"resource_index": B.bits(locator, 0, 0x3FFF), "tileset_index": B.bits(locator, 14, 0x3F), "bif_index": B.bits(locator, 20, 0xFFF)}
 
 
-def repeated(content: Column, start: Column, count: Column, stride: int) -> Column:
-    """Each entry's index and bytes, for explode."""
+def repeated(content: Column, start: Column, count: Column, stride: int, **more: Callable[[Column, Column], Column]) -> Column:
+    """Each entry's index and bytes, for explode; more: what else is read of the content by an entry's bytes."""
     n = F.coalesce(count, F.lit(0)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), B.slice_at(content, start + i * stride, stride).alias("raw"))))
+
+    def cut(w: Column, i: Column) -> Column:
+        raw = B.slice_at(w["content"], w["start"] + i * stride, stride)
+        return F.struct(i.alias("i"), raw.alias("raw"), *(f(w["content"], raw).alias(k) for k, f in more.items()))
+
+    # content is bound once: each entry would copy all of it out of its row
+    whole = F.array(F.struct(content.alias("content"), start.alias("start")))
+    return F.when(n > 0, F.flatten(F.transform(whole, lambda w: F.transform(F.sequence(F.lit(0), n - 1), lambda i: cut(w, i)))))
 
 
 def key_entries(keys: DataFrame, game: str = "game", content: str = "content") -> DataFrame:
@@ -55,9 +62,9 @@ def key_entries(keys: DataFrame, game: str = "game", content: str = "content") -
 def key_archives(keys: DataFrame, game: str = "game", content: str = "content") -> DataFrame:
     """(game, bif_index, file) of key files, file names in plain form."""
     c = F.col(content)
-    rows = keys.select(game, c.alias("c"), F.explode(repeated(c, B.uint_le(c, 16, 4), B.uint_le(c, 8, 4), KEY_ARCHIVE)).alias("e"))
-    name = B.text_at(F.col("c"), B.uint_le(F.col("e.raw"), 4, 4), B.uint_le(F.col("e.raw"), 8, 2))
-    return rows.select(game, F.col("e.i").alias("bif_index"), file_path(name).alias("file"))
+    name = lambda whole, raw: B.text_at(whole, B.uint_le(raw, 4, 4), B.uint_le(raw, 8, 2))
+    rows = keys.select(game, F.explode(repeated(c, B.uint_le(c, 16, 4), B.uint_le(c, 8, 4), KEY_ARCHIVE, name=name)).alias("e"))
+    return rows.select(game, F.col("e.i").alias("bif_index"), file_path(F.col("e.name")).alias("file"))
 
 
 def file_path(name: Column) -> Column:
