@@ -26,8 +26,9 @@ def swapped(hexed: Column, size: int) -> Column:
 def uint_le(content: Column, offset: Column | int, size: int) -> Column:
     """Unsigned integer of 1 to 7 bytes (8: as decimal); null if bytes are missing."""
     part = slice_at(content, offset, size)
-    value = F.conv(swapped(F.hex(part), size), 16, 10).cast("bigint" if size < 8 else "decimal(20,0)")
-    return F.when(F.length(part) == size, value)
+    # the condition stands inside: what only a branch of it reads is computed anew for each byte
+    digits = F.hex(F.when(F.length(part) == size, part))
+    return F.conv(swapped(digits, size), 16, 10).cast("bigint" if size < 8 else "decimal(20,0)")
 
 
 def sint_le(content: Column, offset: Column | int, size: int) -> Column:
@@ -38,8 +39,12 @@ def sint_le(content: Column, offset: Column | int, size: int) -> Column:
 
 def bytes_le(value: Column, size: int) -> Column:
     """value as so many bytes; null as zero, negative values in two's complement."""
-    whole = F.lpad(F.hex(F.coalesce(value, F.lit(0)).cast("bigint")), 16, "0")
-    return F.unhex(swapped(F.substring(whole, 17 - 2 * size, 2 * size), size))
+    whole = F.coalesce(value, F.lit(0)).cast("bigint")
+    turned = F.lit(0).cast("bigint")
+    for k in range(size):
+        byte = F.shiftrightunsigned(whole, 8 * k).bitwiseAND(F.lit(0xFF).cast("bigint"))
+        turned = turned.bitwiseOR(F.shiftleft(byte, 8 * (size - 1 - k)))
+    return F.unhex(F.lpad(F.hex(turned), 2 * size, "0"))
 
 
 def text_at(content: Column, offset: Column | int, size: int | Column) -> Column:

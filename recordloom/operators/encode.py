@@ -43,7 +43,7 @@ def entry_bytes(section: Section, values: dict[str, Column]) -> Column:
 def joined(rows: DataFrame, keys: list[str], order: list[str], entry: Column) -> DataFrame:
     """(keys, n, body): the entries of each resource in order, one after the other."""
     held = rows.select(*keys, F.struct(*order, F.hex(entry).alias("bytes")).alias("e"))
-    body = F.unhex(F.concat_ws("", F.transform(F.array_sort(F.collect_list("e")), lambda e: e["bytes"])))
+    body = F.unhex(F.concat_ws("", F.sort_array(F.collect_list("e")).getField("bytes")))
     return held.groupBy(*keys).agg(F.count("*").alias("n"), body.alias("body"))
 
 

@@ -48,12 +48,12 @@ def with_bodies(resources: DataFrame, decoded: Mapping[str, DataFrame], layout:
     if rows is None:
         none = {f"{c}_{s.name}": v for s in layout.sections[1:] for c, v in (("n", F.lit(0)), ("body", F.lit(b"")))}
         return resources.withColumns(none)
-    met = resources.join(rows.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("held_")), keys, "left")
+    met = resources.join(rows.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("held_")), keys, "left")
     cols = {}
     for k, s in enumerate(layout.sections[1:]):
         mine = of_part(k)
         cols[f"n_{s.name}"] = F.coalesce(F.size(mine), F.lit(0))
-        cols[f"body_{s.name}"] = F.coalesce(F.unhex(F.concat_ws("", F.transform(mine, lambda e: e["bytes"]))), F.lit(b""))
+        cols[f"body_{s.name}"] = F.coalesce(F.unhex(F.concat_ws("", mine.getField("bytes"))), F.lit(b""))
     return met.withColumns({n: F.when(F.col("held_").isNotNull(), c).otherwise(F.lit(0) if n.startswith("n_") else F.lit(b"")) for n, c in cols.items()}).drop("held_")
 
 

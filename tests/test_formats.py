@@ -68,3 +68,11 @@ def test_previous_claim_is_the_last_by_start(spark):
     sizes = spark.createDataFrame([("r", 40)], "k string, size long")
     got = audit.gaps(audit.merged(claims, ["k"]), sizes, ["k"], claims).orderBy("start").collect()
     assert [(r.start, r.end, r.kind, r.prev_end, r.next_start) for r in got] == [(10, 20, "internal_gap", 6, 20), (30, 40, "tail_gap", 30, None)]
+
+
+def test_errors_pack_each_order_once(spark, sf):
+    """No filter on the errors is pushed down to where it would pack an order in every place that reads its content."""
+    from recordloom import queries
+
+    plan = queries.queries()["decode_errors"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and plan.count("body#") < 6
