@@ -143,7 +143,7 @@ def first_difference(a: Column, b: Column, step: int = 4096) -> Column:
         return F.transform(F.array(at), lambda k: F.struct(k.alias("at"), slice_at(x["a"], k, step).alias("a"), slice_at(x["b"], k, step).alias("b")))
 
     def inside(x: Column) -> Column:
-        offsets = F.sequence(F.lit(0), F.lit(step - 1))
+        offsets = F.sequence(F.lit(0), F.greatest(F.length(x["a"]), F.length(x["b"])) - 1)
         return x["at"] + F.get(F.filter(offsets, lambda i: slice_at(x["a"], i, 1) != slice_at(x["b"], i, 1)), F.lit(0))
 
     both = F.array(F.struct(a.alias("a"), b.alias("b")))

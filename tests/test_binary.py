@@ -132,3 +132,14 @@ def test_layout_rules():
         bad({"effects": {"offset_field": "effect_offset", "fields": [{"name": "a", "type": "quux"}]}})
     r = Registry([layout(SWORD)])
     assert r.get("SWORD", "G1") is not None and r.get("SWORD", "G2") is None and r.get("SWORD") is None
+
+
+def test_first_difference_of_short_blobs(spark):
+    """The bytes of a short block are looked at, not 4096 places of each."""
+    import time
+
+    rows = spark.range(0, 20_000, 1, 1).select(F.encode(F.lpad(F.col("id").cast("string"), 8, "a"), "UTF-8").alias("a"))
+    rows = rows.select("a", F.concat(F.substring("a", 1, 7), F.lit(b"x")).alias("b"))
+    start = time.monotonic()
+    got = rows.select(B.first_difference(F.col("a"), F.col("b")).alias("d")).groupBy("d").count().collect()
+    assert [tuple(r) for r in got] == [(7, 20_000)] and time.monotonic() - start < 15
