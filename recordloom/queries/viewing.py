@@ -77,7 +77,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
     line = encode.entry_bytes(ACCOUNT.sections[2], {"key": F.col("l_quantity").cast("bigint"), "number": F.col("l_linenumber"), "supplier": F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))})
     bodies = encode.joined(lines, ["c_custkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], line).select("c_custkey", F.col("n").alias("n_lines"), F.col("body").alias("line_body"))
-    n = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     own = orders.join(n, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.coalesce("n", F.lit(0)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("c_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1))
     own = own.withColumn("first", F.coalesce(before, F.lit(0)))
