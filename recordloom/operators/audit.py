@@ -176,20 +176,35 @@ def reported(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+#: Texts that are Arrow columns of results at a time, and bytes that are counted at a time.
+PROFILE_ROWS, PROFILE_BYTES = 256, 1 << 20
+
+
+def counted(raw: pa.Buffer) -> tuple[int, int, int, int, float]:
+    """Size, zeros, FFs, distinct values, and the sum of n log2 n over the counts of byte values."""
+    n = np.zeros(256, dtype=np.int64)
+    for at in range(0, raw.size, PROFILE_BYTES):
+        n += np.bincount(np.frombuffer(raw.slice(at, min(PROFILE_BYTES, raw.size - at)), dtype=np.uint8), minlength=256)
+    some = n[n > 0]
+    return int(n.sum()), int(n[0]), int(n[255]), len(some), float((some * np.log2(some)).sum())
+
+
+def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and counted() of raw, read where Arrow has it: no copy of a batch as Python objects."""
+    names, types = ["size", "zeros", "ffs", "distinct_bytes", "weighted"], [pa.int64()] * 4 + [pa.float64()]
+    for batch in batches:
+        for at in range(0, batch.num_rows, PROFILE_ROWS):
+            part = batch.slice(at, PROFILE_ROWS)
+            rows = [counted(x.as_buffer()) if x.is_valid else (None,) * 5 for x in part.column("raw")]
+            yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["key", *names])
+
+
 def byte_profile(blobs: DataFrame, keys: list[str], content: str) -> DataFrame:
     """Size, zeros, FFs, distinct values, share of nonzero bytes and Shannon entropy of each
     blob, counted in one pass over Arrow batches: no row per byte, and no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [None if x is None else np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) for x in batch.column("raw").to_pylist()]
-            weight = lambda n: float((n[n > 0] * np.log2(n[n > 0])).sum())
-            columns = [pa.array([None if n is None else f(n) for n in raw], t) for f, t in ((lambda n: int(n.sum()), pa.int64()), (lambda n: int(n[0]), pa.int64()), (lambda n: int(n[255]), pa.int64()), (lambda n: int((n > 0).sum()), pa.int64()), (weight, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", "size", "zeros", "ffs", "distinct_bytes", "weighted"])
-
     rows = blobs.select(F.struct(*keys).alias("key"), F.col(content).alias("raw"))
     kind = rows.schema["key"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"key {kind}, size long, zeros long, ffs long, distinct_bytes long, weighted double").where("size > 0")
+    got = rows.mapInArrow(profiled, f"key {kind}, size long, zeros long, ffs long, distinct_bytes long, weighted double").where("size > 0")
     entropy = F.log2("size") - F.col("weighted") / F.col("size")
     return got.select("key.*", "size", "zeros", "ffs", "distinct_bytes", F.round((F.col("size") - F.col("zeros")) / F.col("size"), 6).alias("nonzero_share"), F.round(entropy, 6).alias("entropy"))
 

@@ -172,3 +172,26 @@ def test_tiles_and_frames(spark):
     row = spark.createDataFrame([(bytearray([1, 0, 1]), palette, 3, 1, True, 0)], "d binary, p binary, w int, h int, r boolean, m int")
     frame = bytes(row.select(raster.frame_rgba("d", "p", "w", "h", "r", "m")).first()[0])
     assert frame[:4] == bytes((255, 0, 0, 255)) and frame[4:8] == frame[8:12] == bytes(4)
+
+
+def test_byte_profile_holds_few_texts():
+    """A batch is not held a second time as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2002)), pa.array([bytes(10_000) + b"\xff\x01" * 5000] * 2000 + [None, b""])], ["key", "raw"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(audit.profiled(iter([batch])))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
+    assert {k: got[0][k] for k in ("size", "zeros", "ffs", "distinct_bytes")} == {"size": 20_000, "zeros": 10_000, "ffs": 5000, "distinct_bytes": 3}
+    assert got[2000]["size"] is None and got[2001]["size"] == 0 and [r["key"] for r in got] == list(range(2002))
+
+
+def test_claims_given_twice(spark):
+    """Equal claims, which the order by start and end leaves in any order, change no union."""
+    rows = [(k, s, e) for k in range(20) for s, e in [(0, 5), (0, 5), (5, 5), (10, 20), (10, 20), (10, 20), (12, 13), (30, 31), (30, 31)]]
+    got = audit.merged(spark.createDataFrame(rows, "k int, start long, end long"), ["k"], stretch=16).collect()
+    assert sorted((r.k, r.start, r.end) for r in got) == [(k, s, e) for k in range(20) for s, e in [(0, 5), (10, 20), (30, 31)]]
