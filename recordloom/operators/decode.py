@@ -103,8 +103,12 @@ def entries(resources: DataFrame, layout: Layout, name: str, keys: list[str], co
     n = count if count is not None else count_of(section, F.col("values"), F.col(content), start)
     uncounted = section.count is None and count is None and name != "header"
     n = F.when(start != 0 if uncounted else start.isNotNull(), n).cast("int")
-    rows = resources.select(*keys, "values", F.col(content).alias("content_"), start.alias("start_"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("entry"))
-    raw = B.slice_at(F.col("content_"), F.col("start_") + F.col("entry") * section.stride, section.stride)
+    # places come out of the generator: a filter on fields would compute a plain column anew in every byte that it reads
+    rows = resources.select(*keys, "values", F.col(content).alias("content_"), start.cast("bigint").alias("start_"), n.alias("n_"))
+    step = F.lit(max(section.stride, 1)).cast("bigint")
+    places = F.sequence(F.col("start_"), F.col("start_") + (F.col("n_") - 1) * step, step)
+    rows = rows.select(*keys, "values", "content_", F.posexplode(F.when(F.col("n_") > 0, places)).alias("entry", "place_"))
+    raw = B.slice_at(F.col("content_"), F.col("place_"), section.stride)
     rows = rows.select(*keys, "entry", "values", "content_", raw.alias("raw_"))
     known = {n: F.col("values")[n] for n in resources.schema["values"].dataType.names}
     return rows.select(*keys, "entry", *(c.alias(n) for n, c in fields(section, F.col("raw_"), known, F.col("content_")).items()))
@@ -121,8 +125,9 @@ def start_of(layout: Layout, section: Section, values: Column, content: Column)
     other = next(s for s in layout.sections if s.name == name)
     first = start_of(layout, other, values, content)
     found = next(f for f in other.fields if f.name == field)
-    raw = B.slice_at(content, first + index * other.stride, other.stride)
-    return F.when(F.lit(index) < count_of(other, values, content, first), value(found, raw, {}))
+    # the condition stands inside, see uint_le
+    raw = F.when(F.lit(index) < count_of(other, values, content, first), B.slice_at(content, first + index * other.stride, other.stride))
+    return value(found, raw, {})
 
 
 def ends(layout: Layout, values: Column, content: Column) -> list[tuple[Section, Column, Column]]:

@@ -79,3 +79,17 @@ def test_dumped(spark):
     assert json.loads(got[0]) == {"header": [{"a_at": 8, "a_n": 1, "b_at": 16, "b_n": 0}], "a": [{"into": 1, "many": 2, "raw": "0x01ff"}], "b": []}
     assert json.loads(got[1])["_unmapped_trailing_data"] == {"size_bytes": 2, "data_hex": "61 62"}
     assert 2 in got
+
+
+def test_a_filter_on_entries_does_not_seek_their_place(spark):
+    """The place of a section that stands in another one's entry is read once a resource, not in every byte that a filter reads."""
+    from recordloom.queries.formats import NESTED
+
+    raw = struct.pack("<2I4I", 3, 8, 0, 1, 28, 2) + b"gap!" + words(1, 10, 2, 20, 3, 30)
+    none = struct.pack("<2I", 3, 90)
+    rows = decode.header(spark.createDataFrame([(1, raw), (2, none), (3, None)], "k int, content binary"), NESTED)
+    found = decode.entries(rows, NESTED, "items", ["k"]).where("number % 2 = 1")
+    assert [tuple(r) for r in found.orderBy("entry").collect()] == [(1, 0, 1, 10), (1, 2, 3, 30)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [line for line in plan.splitlines() if "Filter" in line and "conv(" in line]
+    assert len(conditions) == 1 and conditions[0].count("conv(") == 1 and "values" not in conditions[0]
