@@ -103,11 +103,15 @@ def entries(resources: DataFrame, layout: Layout, name: str, keys: list[str], co
     n = count if count is not None else count_of(section, F.col("values"), F.col(content), start)
     uncounted = section.count is None and count is None and name != "header"
     n = F.when(start != 0 if uncounted else start.isNotNull(), n).cast("int")
-    # places come out of the generator: a filter on fields would compute a plain column anew in every byte that it reads
     rows = resources.select(*keys, "values", F.col(content).alias("content_"), start.cast("bigint").alias("start_"), n.alias("n_"))
-    step = F.lit(max(section.stride, 1)).cast("bigint")
-    places = F.sequence(F.col("start_"), F.col("start_") + (F.col("n_") - 1) * step, step)
-    rows = rows.select(*keys, "values", "content_", F.posexplode(F.when(F.col("n_") > 0, places)).alias("entry", "place_"))
+    if section.offset_from:
+        # places come out of the generator: a filter on fields would compute this start anew in every byte that it reads
+        step = F.lit(max(section.stride, 1)).cast("bigint")
+        places = F.sequence(F.col("start_"), F.col("start_") + (F.col("n_") - 1) * step, step)
+        rows = rows.select(*keys, "values", "content_", F.posexplode(F.when(F.col("n_") > 0, places)).alias("entry", "place_"))
+    else:
+        rows = rows.select(*keys, "values", "content_", "start_", F.explode(F.when(F.col("n_") > 0, F.sequence(F.lit(0), F.col("n_") - 1))).alias("entry"))
+        rows = rows.withColumn("place_", F.col("start_") + F.col("entry") * section.stride)
     raw = B.slice_at(F.col("content_"), F.col("place_"), section.stride)
     rows = rows.select(*keys, "entry", "values", "content_", raw.alias("raw_"))
     known = {n: F.col("values")[n] for n in resources.schema["values"].dataType.names}
