@@ -23,11 +23,25 @@ def swapped(hexed: Column, size: int) -> Column:
     return F.concat(*(F.substring(hexed, 2 * k + 1, 2) for k in range(size - 1, -1, -1)))
 
 
+def turned(number: Column, size: int) -> Column:
+    """The whole number of 1, 2 or 4 bytes with its bytes in the other order. Products copy them side by side and
+    never leave 63 bits; number is named once, at 4 bytes twice, as a filter computes it anew for each name."""
+    if size == 1:
+        return number
+    part = lambda x, shift, mask: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask).cast("bigint"))
+    if size == 2:
+        return part(number * 0x10001, 8, 0xFFFF)
+    odd, even = part(number, 0, 0xFF00FF), part(number, 8, 0xFF00FF)
+    return part(odd * 0x100000001, 8, 0xFF00FF00).bitwiseOR(part(even * 0x100000001, 16, 0xFF00FF))
+
+
 def uint_le(content: Column, offset: Column | int, size: int) -> Column:
     """Unsigned integer of 1 to 7 bytes (8: as decimal); null if bytes are missing."""
     part = slice_at(content, offset, size)
     # the condition stands inside: what only a branch of it reads is computed anew for each byte
     digits = F.hex(F.when(F.length(part) == size, part))
+    if size in (1, 2, 4):
+        return turned(F.conv(digits, 16, 10).cast("bigint"), size)
     return F.conv(swapped(digits, size), 16, 10).cast("bigint" if size < 8 else "decimal(20,0)")
 
 
@@ -37,19 +51,24 @@ def sint_le(content: Column, offset: Column | int, size: int) -> Column:
     return F.when(value >= 2 ** (8 * size - 1), value - F.lit(2 ** (8 * size)).cast("decimal(20,0)" if size == 8 else "bigint")).otherwise(value).cast("bigint")
 
 
-def bytes_le(value: Column, size: int) -> Column:
-    """value as so many bytes; null as zero, negative values in two's complement."""
+def digits_le(value: Column, size: int) -> Column:
+    """The hex digits of bytes_le(): what only becomes part of a longer text of digits needs no bytes of its own."""
     whole = F.coalesce(value, F.lit(0)).cast("bigint")
-    turned = F.lit(0).cast("bigint")
+    total = F.lit(0).cast("bigint")
     for k in range(size):
         byte = F.shiftrightunsigned(whole, 8 * k).bitwiseAND(F.lit(0xFF).cast("bigint"))
-        turned = turned.bitwiseOR(F.shiftleft(byte, 8 * (size - 1 - k)))
-    return F.unhex(F.lpad(F.hex(turned), 2 * size, "0"))
+        total = total.bitwiseOR(F.shiftleft(byte, 8 * (size - 1 - k)))
+    return F.lpad(F.hex(total), 2 * size, "0")
+
+
+def bytes_le(value: Column, size: int) -> Column:
+    """value as so many bytes; null as zero, negative values in two's complement."""
+    return F.unhex(digits_le(value, size))
 
 
 def text_at(content: Column, offset: Column | int, size: int | Column) -> Column:
     """Latin-1 text without trailing NULs."""
-    return F.regexp_replace(F.decode(slice_at(content, offset, size), "ISO-8859-1"), "\\x00+$", "")
+    return F.rtrim(F.decode(slice_at(content, offset, size), "ISO-8859-1"), F.lit("\0"))
 
 
 def fixed_text(value: Column, size: int) -> Column:

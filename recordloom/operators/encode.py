@@ -9,40 +9,41 @@ from recordloom.functions import binary as B
 from recordloom.plans.layout import ENTRY_WIDTHS, Field, Layout, Section
 
 
-def field_bytes(field: Field, value: Column) -> Column:
-    """The bytes of a field's value as the layout has them."""
+def field_bytes(field: Field, value: Column, digits: bool = False) -> Column:
+    """The bytes of a field's value as the layout has them, or their hex digits."""
     kind, size, own = field.kind, field.size, field.attributes
+    whole, shown = (B.digits_le, F.hex) if digits else (B.bytes_le, lambda raw: raw)
     if kind in ("char_array", "resref"):
-        return B.fixed_text(value, size)
+        return shown(B.fixed_text(value, size))
     if kind == "bytes":
-        return F.substring(F.concat(F.coalesce(value, F.lit(b"")), F.lit(bytes(size))), 1, size)
+        return shown(F.substring(F.concat(F.coalesce(value, F.lit(b"")), F.lit(bytes(size))), 1, size))
     if kind in ENTRY_WIDTHS:
         step = int(own.get("entry_size", ENTRY_WIDTHS[kind]))
-        one = (lambda v: B.fixed_text(v, step)) if kind == "resref_array" else (lambda v: B.bytes_le(v, step))
+        one = (lambda v: shown(B.fixed_text(v, step))) if kind == "resref_array" else (lambda v: whole(v, step))
         return F.concat(*(one(F.get(value, F.lit(k))) for k in range(size // step)))
     if kind == "bitfield" and own.get("bitfields"):
         total = F.coalesce(value["_unknown"], F.lit(0)).cast("bigint")
         for name, p in own["bitfields"].items():
             total = total.bitwiseOR(F.shiftleft(F.coalesce(value[name], F.lit(0)).cast("bigint"), p.get("shift", 0)))
-        return B.bytes_le(total, size)
+        return whole(total, size)
     if kind == "bitmask" and own.get("flags"):
         total = F.coalesce(value["_unknown"], F.lit(0)).cast("bigint")
         for mask, name in own["flags"].items():
             total = total.bitwiseOR(F.when(value[name], F.lit(int(mask))).otherwise(0).cast("bigint"))
-        return B.bytes_le(total, size)
+        return whole(total, size)
     if kind == "enum" and own.get("values"):
         pairs = (x for k, v in own["values"].items() for x in (F.lit(v), F.lit(int(k)).cast("bigint")))
-        return B.bytes_le(F.coalesce(F.create_map(*pairs)[value], value.try_cast("bigint"), F.lit(0)), size)
-    return B.bytes_le(value, size)
+        return whole(F.coalesce(F.create_map(*pairs)[value], value.try_cast("bigint"), F.lit(0)), size)
+    return whole(value, size)
 
 
-def entry_bytes(section: Section, values: dict[str, Column]) -> Column:
-    return F.concat(*(field_bytes(f, values[f.name]) for f in section.fields if f.size))
+def entry_bytes(section: Section, values: dict[str, Column], digits: bool = False) -> Column:
+    return F.concat(*(field_bytes(f, values[f.name], digits) for f in section.fields if f.size))
 
 
-def joined(rows: DataFrame, keys: list[str], order: list[str], entry: Column) -> DataFrame:
-    """(keys, n, body): the entries of each resource in order, one after the other."""
-    held = rows.select(*keys, F.struct(*order, F.hex(entry).alias("bytes")).alias("e"))
+def joined(rows: DataFrame, keys: list[str], order: list[str], entry: Column, digits: bool = False) -> DataFrame:
+    """(keys, n, body): the entries of each resource in order, one after the other; digits: entry has hex digits."""
+    held = rows.select(*keys, F.struct(*order, (entry if digits else F.hex(entry)).alias("bytes")).alias("e"))
     body = F.unhex(F.concat_ws("", F.sort_array(F.collect_list("e")).getField("bytes")))
     return held.groupBy(*keys).agg(F.count("*").alias("n"), body.alias("body"))
 

@@ -28,33 +28,35 @@ def put(content: Column, at: Column, raw: Column) -> Column:
     return F.concat(F.substring(content, F.lit(1), at.cast("int")), raw, after)
 
 
-def of_part(k: int) -> Column:
+def of_part(k: int, alone: bool = False) -> Column:
     """The gathered entries of one section."""
-    return F.filter("held_", lambda e: e["part"] == k)
+    return F.col("held_") if alone else F.filter("held_", lambda e: e["part"] == k)
 
 
 def with_bodies(resources: DataFrame, decoded: Mapping[str, DataFrame], layout: Layout, keys: list[str]) -> DataFrame:
     """resources with n_<section> and body_<section> for every section after the header.
 
     decoded: rows (keys, entry, fields) by section name; a section without rows is empty.
-    Null keys meet nothing, as in any join.
+    Null keys meet nothing, as in any join. Bodies are put together before they meet their
+    resource, so that what is sorted and joined is bytes, not arrays of entries.
     """
-    rows = None
+    rows, alone = None, len([s for s in layout.sections[1:] if s.name in decoded]) == 1
     for k, s in enumerate(layout.sections[1:]):
         if s.name in decoded:
-            raw = encode.entry_bytes(s, {f.name: F.col(f.name) for f in s.fields})
-            own = decoded[s.name].select(*keys, F.struct(F.lit(k).alias("part"), "entry", F.hex(raw).alias("bytes")).alias("e"))
+            digits = encode.entry_bytes(s, {f.name: F.col(f.name) for f in s.fields}, digits=True).alias("digits")
+            own = decoded[s.name].select(*keys, F.struct(*(() if alone else (F.lit(k).alias("part"),)), "entry", digits).alias("e"))
             rows = own if rows is None else rows.union(own)
+    none = {f"{c}_{s.name}": v for s in layout.sections[1:] for c, v in (("n", F.lit(0)), ("body", F.lit(b"")))}
     if rows is None:
-        none = {f"{c}_{s.name}": v for s in layout.sections[1:] for c, v in (("n", F.lit(0)), ("body", F.lit(b"")))}
         return resources.withColumns(none)
-    met = resources.join(rows.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("held_")), keys, "left")
     cols = {}
     for k, s in enumerate(layout.sections[1:]):
-        mine = of_part(k)
-        cols[f"n_{s.name}"] = F.coalesce(F.size(mine), F.lit(0))
-        cols[f"body_{s.name}"] = F.coalesce(F.unhex(F.concat_ws("", mine.getField("bytes"))), F.lit(b""))
-    return met.withColumns({n: F.when(F.col("held_").isNotNull(), c).otherwise(F.lit(0) if n.startswith("n_") else F.lit(b"")) for n, c in cols.items()}).drop("held_")
+        if s.name in decoded:
+            mine = of_part(k, alone)
+            cols |= {f"n_{s.name}": F.size(mine), f"body_{s.name}": F.unhex(F.concat_ws("", mine.getField("digits")))}
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("held_"))
+    met = resources.drop(*none).join(held.select(*keys, *(c.alias(n) for n, c in cols.items())), keys, "left")
+    return met.withColumns({n: F.coalesce(n, v) if n in cols else v for n, v in none.items()})
 
 
 def head(layout: Layout, changed: Mapping[str, Column]) -> Column:
@@ -69,7 +71,8 @@ def preserved(resources: DataFrame, decoded: Mapping[str, DataFrame], layout: La
     the original's end is preceded by zeros. Bytes before an empty section are lost: what is
     not read by an entry comes back only before one, or behind all that is read. Null for null content.
     """
-    rows = with_bodies(resources, decoded, layout, keys)
+    # the header is written below the join, where it is generated code and written once
+    rows = with_bodies(resources.withColumn("head_", head(layout, {})), decoded, layout, keys)
     starts = {s.name: decode.start_of(layout, s, F.col("values"), F.col(content)) for s in layout.sections[1:]}
     parts = [F.struct(starts[s.name].cast("bigint").alias("start"), F.lit(k).alias("part"), F.col(f"body_{s.name}").alias("body")) for k, s in enumerate(layout.sections[1:])]
     found = F.array_sort(F.filter(F.array(*parts), lambda p: (p["start"] > 0) & (F.length(p["body"]) > 0)))
@@ -81,10 +84,21 @@ def preserved(resources: DataFrame, decoded: Mapping[str, DataFrame], layout: La
         ready = F.when(room > 0, put(done["raw"], done["at"], kept)).otherwise(done["raw"])
         return state(put(ready, p["start"], p["body"]), p["start"] + F.length(p["body"]))
 
-    rows = rows.withColumn("done_", F.aggregate(found, state(head(layout, {}), F.lit(layout.header.stride)), step)) if parts else rows.withColumn("done_", state(head(layout, {}), F.lit(layout.header.stride)))
+    first = state(F.col("head_"), F.lit(layout.header.stride))
+    rows = rows.withColumn("done_", first if not parts else behind_header(parts[0], layout.header.stride, content) if len(parts) == 1 else F.aggregate(found, first, step))
     rest = decode.trailing(F.col(content), decode.end_of(layout, F.col("values"), F.col(content)))
     saved = F.when(rest.isNull(), F.col("done_")["raw"]).otherwise(put(F.col("done_")["raw"], F.col("done_")["at"], rest))
-    return rows.withColumn("saved", F.when(F.col(content).isNotNull(), saved)).drop("done_", *(f"{c}_{s.name}" for s in layout.sections[1:] for c in ("n", "body")))
+    return rows.withColumn("saved", F.when(F.col(content).isNotNull(), saved)).drop("head_", "done_", *(f"{c}_{s.name}" for s in layout.sections[1:] for c in ("n", "body")))
+
+
+def behind_header(part: Column, stride: int, content: str) -> Column:
+    """The one section of a layout as preserved() writes it, without a lambda: (raw, at)."""
+    at, body, top = part["start"], part["body"], F.col("head_")
+    between = F.when(at <= F.length(content), F.substring(F.col(content), stride + 1, (at - stride).cast("int"))).otherwise(zeros(at - stride))
+    after = F.substring(top, (at + F.length(body) + 1).cast("int"), F.lit(stride))
+    raw = F.concat(F.substring(top, F.lit(1), at.cast("int")), F.when(at > stride, between).otherwise(F.lit(b"")), body, after)
+    written = (at > 0) & (F.length(body) > 0)
+    return F.struct(F.when(written, raw).otherwise(top).alias("raw"), F.when(written, at + F.length(body)).otherwise(F.lit(stride)).cast("bigint").alias("at"))
 
 
 def place_of(section: Section, field: str) -> tuple[int, int]:
