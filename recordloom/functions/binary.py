@@ -51,6 +51,14 @@ def sint_le(content: Column, offset: Column | int, size: int) -> Column:
     return F.when(value >= 2 ** (8 * size - 1), value - F.lit(2 ** (8 * size)).cast("decimal(20,0)" if size == 8 else "bigint")).otherwise(value).cast("bigint")
 
 
+def nearest(value: Column) -> Column:
+    """A double as round() has it, halves away from zero, without its way over decimal text: what
+    rint takes from a value is exact."""
+    even = F.rint(value)
+    off = value - even
+    return F.when((off == 0.5) & (value > 0), even + 1).when((off == -0.5) & (value < 0), even - 1).otherwise(even)
+
+
 def digits_le(value: Column, size: int) -> Column:
     """The hex digits of bytes_le(): what only becomes part of a longer text of digits needs no bytes of its own."""
     whole = F.coalesce(value, F.lit(0)).cast("bigint")

@@ -98,11 +98,7 @@ def entries(resources: DataFrame, layout: Layout, name: str, keys: list[str], co
     sections determine (counts.py).
     """
     section = next(s for s in layout.sections if s.name == name)
-    if start is None:
-        start = start_of(layout, section, F.col("values"), F.col(content))
-    n = count if count is not None else count_of(section, F.col("values"), F.col(content), start)
-    uncounted = section.count is None and count is None and name != "header"
-    n = F.when(start != 0 if uncounted else start.isNotNull(), n).cast("int")
+    start, n = extent_of(layout, section, F.col("values"), F.col(content), count, start)
     rows = resources.select(*keys, "values", F.col(content).alias("content_"), start.cast("bigint").alias("start_"), n.alias("n_"))
     if section.offset_from:
         # places come out of the generator: a filter on fields would compute this start anew in every byte that it reads
@@ -118,6 +114,15 @@ def entries(resources: DataFrame, layout: Layout, name: str, keys: list[str], co
     return rows.select(*keys, "entry", *(c.alias(n) for n, c in fields(section, F.col("raw_"), known, F.col("content_")).items()))
 
 
+def extent_of(layout: Layout, section: Section, values: Column, content: Column, count: Column | None = None, start: Column | None = None) -> tuple[Column, Column]:
+    """Where a section starts and how many entries of it are there, null if none can be."""
+    if start is None:
+        start = start_of(layout, section, values, content)
+    n = count if count is not None else count_of(section, values, content, start)
+    uncounted = section.count is None and count is None and section is not layout.header
+    return start, F.when(start != 0 if uncounted else start.isNotNull(), n).cast("int")
+
+
 def start_of(layout: Layout, section: Section, values: Column, content: Column) -> Column:
     """Where a section starts: by a field of values, or by one in an entry of another section,
     null if that entry is not there. All in the row, without a join."""

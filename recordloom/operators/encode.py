@@ -41,11 +41,12 @@ def entry_bytes(section: Section, values: dict[str, Column], digits: bool = Fals
     return F.concat(*(field_bytes(f, values[f.name], digits) for f in section.fields if f.size))
 
 
-def joined(rows: DataFrame, keys: list[str], order: list[str], entry: Column, digits: bool = False) -> DataFrame:
-    """(keys, n, body): the entries of each resource in order, one after the other; digits: entry has hex digits."""
+def joined(rows: DataFrame, keys: list[str], order: list[str], entry: Column, digits: bool = False, scattered: bool = False) -> DataFrame:
+    """(keys, n, body): the entries of each resource in order, one after the other; digits: entry has hex digits;
+    scattered: those of one resource hardly lie together, and are brought there before they are gathered."""
     held = rows.select(*keys, F.struct(*order, (entry if digits else F.hex(entry)).alias("bytes")).alias("e"))
     body = F.unhex(F.concat_ws("", F.sort_array(F.collect_list("e")).getField("bytes")))
-    return held.groupBy(*keys).agg(F.count("*").alias("n"), body.alias("body"))
+    return (held.repartition(*keys) if scattered else held).groupBy(*keys).agg(F.count("*").alias("n"), body.alias("body"))
 
 
 def resource(layout: Layout, values: dict[str, Column], body: Column) -> Column:

@@ -19,10 +19,10 @@ QUERIES: dict = {}
 def packed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One binary resource per order, its lines as entries: (o_orderkey, content)."""
     lines = table(spark, sf_dir, "lineitem")
-    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
+    cents = lambda c: B.nearest(F.col(c) * 100).cast("bigint")
     values = {"quantity": cents("l_quantity"), "price": cents("l_extendedprice"), "discount": cents("l_discount"), "return_flag": F.col("l_returnflag"), "number": F.col("l_linenumber")}
     section = ORDER.sections[1]
-    bodies = encode.joined(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], encode.entry_bytes(section, values, digits=True), digits=True)
+    bodies = encode.joined(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], encode.entry_bytes(section, values, digits=True), digits=True, scattered=True)
     orders = table(spark, sf_dir, "orders").select("o_orderkey").join(bodies, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     head = {"signature": F.lit("ORD "), "version": F.lit("V1.0"), "key": F.col("o_orderkey"), "line_count": F.coalesce("n", F.lit(0)), "line_offset": F.lit(ORDER.header.stride)}
     return orders.select("o_orderkey", encode.resource(ORDER, head, F.col("body")).alias("content"))

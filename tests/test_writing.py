@@ -154,3 +154,37 @@ def test_numbers_turned(spark):
         assert got == {**dict(enumerate(values)), 98: None, 99: None}
     plan = df.where(B.uint_le(F.col("c"), 0, 2) > 1)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("conv(") <= 2 and plan.count("hex(") <= 2
+
+
+def test_conditions_give_what_rows_give(spark):
+    """Sections told by a condition: also with null and repeated keys, null and cut contents, several sections."""
+    raw = words(10, 3, 40, 5) + b"gg" + a(9, 2) + a(9, 0) + a(9, 3) + bytes(6) + words(1, 2, 3, 4, 5) + b"tail"
+    more = words(10, 1, 22, 2) + b"gg" + a(1, 2, b"hi") + b"zzzz" + words(5, 6) + b"tail"
+    contents = list(zip([0, 1, 2, 3, 3, 4, None, None], [raw, words(0, 0, 0, 0), None, more, raw, raw[:35], raw, words(0, 0, 0, 0)]))
+    df = decode.header(spark.createDataFrame(contents, "k int, content binary"), TWO)
+    every, odd = lambda e: F.lit(True), lambda e: e["x"] % 2 == 1
+    rows = {s: decode.entries(df, TWO, s, ["k"]) for s in ("a", "b")}
+    for by_rows, told in (({**rows, "b": rows["b"].where("x % 2 = 1")}, {"a": every, "b": odd}), ({"b": rows["b"].where("x % 2 = 1")}, {"b": odd})):
+        for write in (rewrite.repacked, rewrite.preserved):
+            wanted, got = (write(df, x, TWO, ["k"]) for x in (by_rows, told))
+            assert got.schema == wanted.schema
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    with pytest.raises(ValueError):
+        rewrite.repacked(df, {**rows, "b": odd}, TWO, ["k"])
+
+
+def test_resources_are_packed_once(spark):
+    """Packing an order was the most of the work, and was done for the resource and for its entries again."""
+    from recordloom.queries import writing
+
+    for query in ("write_repacked", "write_preserved"):
+        plan = writing.QUERIES[query][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_extendedprice#") > 0 and plan.count("Relation [l_orderkey") == 1 and plan.count("Join") == 1
+
+
+def test_nearest(spark):
+    values = [0.5, 1.5, 2.5, -0.5, -1.5, -2.5, 0.49999999999999994, -0.49999999999999994, 12.5, 1735.0000000000002, 4503599627370497.5, 9007199254740993.0, 1e17, 0.0, -0.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    from recordloom.functions import binary as B
+
+    assert all(r.a == r.b for r in df.select(B.nearest(F.col("v")).cast("bigint").alias("a"), F.round("v").cast("bigint").alias("b")).collect())
